@@ -13,6 +13,7 @@ RULES = [
     url_filters.ListRule("block", "com", "/en/"), url_filters.ListRule("allow", "example.com", "/en/7"), url_filters.ListRule("allow", "net", "/de/"),
     url_filters.ListRule("block", "example.net", "/de/8"), url_filters.ListRule("block", "org", "/es/"),
 ]
+PACKING = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 SHARDS, SLOTS = [f"shard-{k:02d}" for k in range(64)], 65_537
 
 
@@ -78,7 +79,7 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into windows of 2048, 1024, 512 and 256 tokens."""
-    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(read(spark, sf_dir, "documents"), *PACKING)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
