@@ -61,6 +61,9 @@ class Page:
 
     def prose(self) -> str:
         text = " ".join(self.words(2, 25) for _ in range(int(self.r.integers(1, 5 if self.odds(0.8) else 14))))
+        if self.odds(0.12):  # lists and tables in one line, codes and numbers
+            mark = self.pick([" | ", " | ", " · ", " / ", " ; ", " 12.5 ", " # "])
+            text = mark.join(self.pick([self.word(), self.word().capitalize(), str(self.r.integers(9999))]) for _ in range(int(self.r.integers(2, 40))))
         for tag in ("b", "em", "a href='/x'", "span", "code"):
             if self.odds(0.08):
                 a, *rest = text.split(" ", 1)

@@ -183,7 +183,7 @@ class Labeller:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 1500, seed: int = 11) -> Labeller:
+def trained(pages: int = 2000, seed: int = 11) -> Labeller:
     """The labeller, trained on made-up pages; once in a driver, some seconds. The same every time."""
     rng, f, xs, ys = np.random.default_rng(seed), Features(), [], []
     for _ in range(pages):
