@@ -53,5 +53,5 @@ def graph_map(mapping: DataFrame, source: Network, target: Network) -> Network:
 def edge_map(mapping: DataFrame, source: Network) -> Network:
     """Edges with ``map`` from (pre, post, to_pre, to_post); the ends of mapped edges get theirs, too."""
     to = mapping.select("pre", "post", F.struct("to_pre", "to_post").alias("map"))
-    ends = mapping.select(F.inline(F.array(F.struct(F.col("pre").alias("name"), F.col("to_pre").alias("map")), F.struct("post", "to_post")))).groupBy("name").agg(F.min("map").alias("map"))
+    ends = mapping.select(F.inline(F.array(F.struct(F.col("pre").alias("name"), F.col("to_pre").alias("map")), F.struct(F.col("post").alias("name"), F.col("to_post").alias("map"))))).groupBy("name").agg(F.min("map").alias("map"))
     return source.with_(connections=source.connections.join(to, ["pre", "post"], "left"), neurons=source.neurons.join(ends, "name", "left"))

@@ -90,10 +90,10 @@ def dorso_ventral_classes(neurons: DataFrame) -> DataFrame:
     one = F.regexp_extract("name", "^(.*)D$", 1)
     two = F.regexp_extract("name", "^(.*)D([LR])$", 1)
     side = F.regexp_extract("name", "^(.*)D([LR])$", 2)
-    d = neurons.select("name", F.when(F.col("name").rlike("D$") & (F.col("name") != "RID"), F.struct(F.concat(one, F.lit("V")).alias("twin"), one.alias("class"))).when(F.col("name").rlike("D[LR]$"), F.struct(F.concat(two, F.lit("V"), side), F.concat(two, side))).alias("s"))
+    d = neurons.select("name", F.when(F.col("name").rlike("D$") & (F.col("name") != "RID"), F.struct(F.concat(one, F.lit("V")).alias("twin"), one.alias("class"))).when(F.col("name").rlike("D[LR]$"), F.struct(F.concat(two, F.lit("V"), side).alias("twin"), F.concat(two, side).alias("class"))).alias("s"))
     d = d.where("s is not null").select("name", "s.twin", "s.class")
     pairs = d.join(neurons.select(F.col("name").alias("twin")).distinct(), "twin")
-    return pairs.select(F.inline(F.array(F.struct("name", "class", F.lit(0).alias("ord")), F.struct(F.col("twin"), "class", F.lit(1)))))
+    return pairs.select(F.inline(F.array(F.struct("name", "class", F.lit(0).alias("ord")), F.struct(F.col("twin").alias("name"), "class", F.lit(1).alias("ord")))))
 
 
 def fold_dorso_ventral(net: Network) -> Network:

@@ -40,7 +40,7 @@ def connected(net: Network, name: str, direction: str = "both", above: float = 1
 def all_connected(net: Network, above: float = 1) -> DataFrame:
     """The same of every node at once: (name, neighbor)."""
     e = net.connections.where(F.col("weight") > above)
-    pairs = F.array(F.struct(F.col("pre").alias("name"), F.col("post").alias("neighbor")), F.struct(F.col("post"), F.col("pre")), F.struct(F.col("pre"), F.col("pre")), F.struct(F.col("post"), F.col("post")))
+    pairs = F.array(*[F.struct(F.col(a).alias("name"), F.col(b).alias("neighbor")) for a in ("pre", "post") for b in ("pre", "post")])
     return e.select(F.inline(pairs)).distinct()
 
 

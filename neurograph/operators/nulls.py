@@ -49,14 +49,14 @@ def edge_swap(edges: DataFrame, seed: int, rounds: int | None = None) -> DataFra
         numbered = _ranked(now.withColumn("_h", draw(seed + r, "pre", "post")), [F.col("_h"), F.col("pre"), F.col("post")], "_k").select("pre", "post", F.expr("(_k - 1) div 2").alias("p"), ((F.col("_k") - 1) % 2).alias("s"))
         a, b = numbered.where("s = 0").select("p", F.col("pre").alias("a"), F.col("post").alias("b")), numbered.where("s = 1").select("p", F.col("pre").alias("c"), F.col("post").alias("d"))
         pairs = a.join(b, "p", "left")
-        made = pairs.where("c is not null").select("p", F.inline(F.array(F.struct(F.col("a").alias("pre"), F.col("d").alias("post")), F.struct(F.col("c"), F.col("b")))))
+        made = pairs.where("c is not null").select("p", F.inline(F.array(F.struct(F.col("a").alias("pre"), F.col("d").alias("post")), F.struct(F.col("c").alias("pre"), F.col("b").alias("post")))))
         there = now.select(F.col("pre").alias("_x"), F.col("post").alias("_y"))
         known = made.join(there, (F.col("pre") == F.col("_x")) & (F.col("post") == F.col("_y")), "left").withColumn("old", F.col("_x").isNotNull() | (F.col("pre") == F.col("post")))
         first = known.groupBy("pre", "post").agg(F.min("p").alias("q"))
         bad = known.join(first, ["pre", "post"]).where(F.col("old") | (F.col("p") != F.col("q"))).select("p").distinct().withColumn("bad", F.lit(True))
         kept = pairs.join(bad, "p", "left")
         swap = F.col("c").isNotNull() & F.col("bad").isNull()
-        both = F.array(F.struct(F.col("a").alias("pre"), F.when(swap, F.col("d")).otherwise(F.col("b")).alias("post")), F.struct(F.col("c"), F.when(swap, F.col("b")).otherwise(F.col("d"))))
+        both = F.array(F.struct(F.col("a").alias("pre"), F.when(swap, F.col("d")).otherwise(F.col("b")).alias("post")), F.struct(F.col("c").alias("pre"), F.when(swap, F.col("b")).otherwise(F.col("d")).alias("post")))
         now = written(kept.select(F.inline(both)).where("pre is not null"), "swap")
     return now
 
@@ -102,17 +102,20 @@ def replicates(edges: DataFrame, mode: str, n: int, seed: int = 0, **options) ->
     return reduce(DataFrame.union, [randomize(edges, mode, seed + 1000 * k, **options).select(F.lit(k).alias("replicate"), "pre", "post") for k in range(n)])
 
 
-@F.pandas_udf("double")
-def upper_tail(z: pd.Series) -> pd.Series:
+def upper_tail(z: Column) -> Column:
     """1 - Phi(z) of the normal distribution."""
-    return z.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(x / math.sqrt(2)))
+
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None or v != v else 0.5 * math.erfc(v / math.sqrt(2)))
+
+    return F.pandas_udf(tail, "double")(z)
 
 
 def z_scores(observed: DataFrame, null: DataFrame, key: str) -> DataFrame:
     """(key, observed, null_mean, null_std, z, p) from (key, value) and (key, replicate, value); z is 0 where the null doesn't vary."""
     m = null.groupBy(key).agg(F.avg("value").alias("null_mean"), F.stddev_pop("value").alias("null_std"))
     z = F.coalesce(F.try_divide(F.col("observed") - F.col("null_mean"), F.col("null_std")), F.lit(0.0))
-    return observed.select(key, F.col("value").cast("double").alias("observed")).join(m, key).withColumn("z", z).withColumn("p", upper_tail("z"))
+    return observed.select(key, F.col("value").cast("double").alias("observed")).join(m, key).withColumn("z", z).withColumn("p", upper_tail(F.col("z")))
 
 
 def adjust(tests: DataFrame, method: str = "bh", p: str = "p", by: tuple[str, ...] = ()) -> DataFrame:

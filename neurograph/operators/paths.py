@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from neurograph.sources.tables import written
 
-EDGE = "struct<pre:string,post:string,uid:int,connection_type:string,weight:double>"
-
 
 def simple_paths(edges: DataFrame, sources: DataFrame, max_length: int, targets: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
     """All simple paths of 1 to ``max_length`` edges from nodes (name) of ``sources``: (source, target, length, nodes[, edges]).
@@ -100,7 +98,7 @@ def reverse_path(edges: Column) -> Column:
 def concat_paths(a: Column, b: Column) -> Column:
     """Both, if the second begins where the first ends or one is empty; else an error."""
     fits = (F.size(a) == 0) | (F.size(b) == 0) | (F.try_element_at(a, F.lit(-1))["post"] == F.try_element_at(b, F.lit(1))["pre"])
-    return F.when(fits, F.concat(a, b)).otherwise(F.raise_error(F.lit("the second path must begin where the first ends")))
+    return F.when(F.assert_true(fits, F.lit("the second path must begin where the first ends")).isNull(), F.concat(a, b))
 
 
 def path_nodes(edges: Column) -> Column:

@@ -29,7 +29,7 @@ def with_types(edges: DataFrame, types: DataFrame) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, in_degree, out_degree, degree): parallel edges count each; nodes without edges have zeros. One pass over the edges."""
-    ends = edges.select(F.inline(F.array(F.struct(F.col("pre").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("post"), F.lit(1), F.lit(0)))))
+    ends = edges.select(F.inline(F.array(F.struct(F.col("pre").alias("name"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("post").alias("name"), F.lit(1).alias("i"), F.lit(0).alias("o")))))
     counted = ends.groupBy("name").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     i, o = F.coalesce("i", F.lit(0)), F.coalesce("o", F.lit(0))
     return nodes.select("name").join(counted, "name", "left").select("name", i.alias("in_degree"), o.alias("out_degree"), (i + o).alias("degree"))
