@@ -29,7 +29,7 @@ def recording(samples: DataFrame, discard: float = 0) -> DataFrame:
     d = int(discard * F_SAMPLE)
     n = F.count("*").over(over())
     checked = samples.withColumn("_n", F.when(n > d, n).otherwise(F.raise_error(F.lit("discard is longer than the recording")).cast("bigint")))
-    return checked.where((F.col("t") >= d) & (F.col("_n") > 0)).drop("_n").withColumn("t", F.row_number().over(over().orderBy("t")) - 1)
+    return checked.where((F.col("_n") > 0) & (F.col("t") >= d)).drop("_n").withColumn("t", F.row_number().over(over().orderBy("t")) - 1)
 
 
 def durations(samples: DataFrame) -> DataFrame:
@@ -200,3 +200,21 @@ def power_spectrum(samples: DataFrame) -> DataFrame:
 def replace_trial(trials: DataFrame, new: DataFrame) -> DataFrame:
     """Trials of ``new`` take the place of those of the same number."""
     return trials.join(new.select(*KEYS).distinct(), list(KEYS), "left_anti").unionByName(new)
+
+
+# Metadata: trials (neuron, trial, metadata map<string,string>, log array<string>).
+
+
+def add_metadata(trials: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds or replaces an entry."""
+    return trials.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, _: k != key), F.create_map(F.lit(key), F.lit(value))))
+
+
+def get_metadata(trials: DataFrame, key: str | None = None) -> DataFrame:
+    """All metadata, or one entry, null where a trial has none of the name."""
+    return trials.select(*KEYS, F.col("metadata") if key is None else F.try_element_at("metadata", F.lit(key)).alias(key))
+
+
+def log_processing(trials: DataFrame, step: str) -> DataFrame:
+    """Appends a step and the time to the log."""
+    return trials.withColumn("log", F.array_append("log", F.concat(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(f" {step}"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from neurograph.operators import centrality, motifs, nulls, paths, stats
+from neurograph.operators import centrality, layout, motifs, nulls, paths, stats
 from neurograph.plans import views as v
 from neurograph.plans.graph import sparse
 from neurograph.plans.registry import n, query, r
@@ -298,3 +298,20 @@ def measured_inputs(spark, sf):
 def linear_fit(spark, sf):
     rows = v.read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("kind"), "l_extendedprice", "l_quantity")
     return centrality.linear_fit(rows, "l_extendedprice", "l_quantity", "kind")
+
+
+@query(f"WITH {v.USER} SELECT name, type, {n('row_number() OVER (PARTITION BY type ORDER BY name) - 1')} AS place, {n('CASE WHEN name IN ($$1$$, $$2$$) THEN 0 ELSE 1 END')} AS shell FROM users")
+def layout_places(spark, sf):
+    return layout.shells(layout.grouped_places(v.users(spark, sf).neurons, "type"), ["1", "2"])
+
+
+@query(f"WITH {v.SPARSE} SELECT pre, post, {r('1 + ln(weight) / ln(10)')} AS width FROM sparse")
+def layout_widths(spark, sf):
+    return layout.edge_widths(sparse(spark, sf), 10.0).select("pre", "post", "width")
+
+
+@query(f"""WITH {v.USER} SELECT pre, post, connection_type, a.type AS pre_type, b.type AS post_type, a.type <> b.type AS across, EXISTS (FROM strong z WHERE z.pre = steps.pre AND z.post = steps.post) AS anatomical
+FROM steps JOIN users a ON pre = a.name JOIN users b ON post = b.name""")
+def layout_layers(spark, sf):
+    net = v.users(spark, sf)
+    return layout.layered_edges(net.connections, net.neurons, v.strong(spark, sf)).drop("weight")

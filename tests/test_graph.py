@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from neurograph.model import CHEMICAL, GAP, Network, Organism, signature_dict
-from neurograph.operators import build, combine, fold, motifs, neighbors, nulls, omics, paths, select, stats
+from neurograph.operators import build, combine, fold, layout, motifs, neighbors, nulls, omics, paths, select, stats
 from neurograph.sources import readers, writers
 
 EDGE = "pre string, post string, uid int, connection_type string, weight double"
@@ -248,3 +248,15 @@ def test_organism():
     with pytest.raises(ValueError):
         w.set_active_context("c")
     assert signature_dict("S", {"b": 1, "_x": 2, "name": "n", "a": 0}) == {"S:a": "0", "S:b": "1"}
+
+
+def test_layout(spark, typed):
+    nodes = spark.createDataFrame([("a", (1.0, 2.0, 3.0)), ("b", (4.0, 5.0, 6.0))], "name string, position struct<AP:double,LR:double,DV:double>")
+    net = Network("p", nodes, typed.connections.limit(0))
+    got = layout.positions(net, ("AP", "LR", "DV"), reverse=("AP", "DV"), fixed={"b": {"AP": 9.0}}).orderBy("name").collect()
+    assert [tuple(r) for r in got] == [("a", -1.0, -2.0, 3.0), ("b", -9.0, -5.0, 6.0)]
+    assert [r.name for r in select.within(nodes, {"AP": (0, 2), "LR": (-2, 0)}).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        layout.positions(net.with_(neurons=nodes.withColumn("position", F.lit(None).cast(nodes.schema["position"].dataType))))
+    with pytest.raises(AssertionError):
+        layout.highlighted(nodes, ["z"])

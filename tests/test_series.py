@@ -178,3 +178,15 @@ def test_streams_equal_batch(spark, tmp_path):
     for k in range(1, len(rows)):
         n += rows[k] <= 10 < rows[k - 1]
     assert got.where("neuron = 1").count() == n
+
+
+def test_metadata_and_trials(spark):
+    trials = spark.createDataFrame([("n", 0, {"a": "1"}, ["x"])], "neuron string, trial int, metadata map<string,string>, log array<string>")
+    got = signal.log_processing(signal.add_metadata(signal.add_metadata(trials, "a", "2"), "b", "3"), "filter").first()
+    assert got.metadata == {"a": "2", "b": "3"} and len(got.log) == 2 and got.log[1].endswith(" filter")
+    assert signal.get_metadata(trials, "z").first().z is None
+    old, new = frame(spark, [1, 2]), frame(spark, [5])
+    assert [r.value for r in signal.replace_trial(old, new).collect()] == [5.0]
+    assert signal.recording(frame(spark, range(10)), 1.0).count() == 5
+    with pytest.raises(Exception, match="longer"):
+        signal.recording(frame(spark, range(4)), 1.0).collect()
