@@ -71,20 +71,35 @@ def random_edges(nodes: DataFrame, m: int, seed: int) -> DataFrame:
     tries = n * (n - 1) if dense else int(m + 6 * math.sqrt(m + 1) + m * m / max(1, n * (n - 1)) * 1.5) + 16
     code = F.col("id") if dense else F.pmod(draw(seed + 1, "id"), F.lit(n * (n - 1)))
     codes = nodes.sparkSession.range(tries).select(code.alias("code")).distinct()
-    chosen = codes.orderBy(draw(seed + 2, "code"), "code").limit(m)
+    chosen = _ranked(codes.withColumn("_h", draw(seed + 2, "code")), [F.col("_h"), F.col("code")], "_c").where(F.col("_c") <= m)
     pairs = chosen.select(F.expr(f"code div {n - 1}").alias("i"), (F.col("code") % (n - 1)).alias("j0")).select("i", (F.col("j0") + (F.col("j0") >= F.col("i")).cast("int")).alias("j"))
     a, b = numbered.select(F.col("k").alias("i"), F.col("name").alias("pre")), numbered.select(F.col("k").alias("j"), F.col("name").alias("post"))
     return pairs.join(a, "i").join(b, "j").select("pre", "post")
 
 
 def stub_matching(edges: DataFrame, types: DataFrame, seed: int) -> DataFrame:
-    """For each pair of types as many distinct random pairs between their nodes as there are edges, without loops; groups without enough pairs give what they have."""
+    """For each pair of types as many distinct random pairs between their nodes as there are edges, without loops.
+
+    Pairs are drawn by number, as in ``random_edges``: a few too many of which the least hashes stay, or all numbers where edges are dense. Groups
+    without enough pairs give what they have.
+    """
     a, b = (types.select(F.col("name").alias(s), F.col("type").alias(f"{s}_type")) for s in ("pre", "post"))
+    size = types.groupBy("type").agg(F.count("*").alias("size"))
     counts = edges.join(a, "pre").join(b, "post").groupBy("pre_type", "post_type").agg(F.count("*").alias("m"))
-    # candidate pairs of types that have edges only; each group's least hashes win
-    candidates = counts.join(a, "pre_type").join(b, "post_type").where("pre <> post")
-    w = Window.partitionBy("pre_type", "post_type").orderBy(draw(seed, "pre", "post"), "pre", "post")
-    return candidates.withColumn("k", F.row_number().over(w)).where("k <= m").select("pre", "post", "pre_type", "post_type")
+    counts = counts.join(size.select(F.col("type").alias("pre_type"), F.col("size").alias("A")), "pre_type").join(size.select(F.col("type").alias("post_type"), F.col("size").alias("B")), "post_type")
+    same = F.col("pre_type") == F.col("post_type")
+    counts = counts.withColumn("width", F.when(same, F.col("B") - 1).otherwise(F.col("B"))).withColumn("N", F.col("A") * F.col("width")).where("N > 0")
+    dense = F.col("m") * 3 > F.col("N")
+    tries = F.when(dense, F.col("N")).otherwise((F.col("m") + 6 * F.sqrt("m") + 1.5 * F.col("m") * F.col("m") / F.col("N") + 16).cast("bigint"))
+    tried = counts.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), tries - 1)))
+    group = ["pre_type", "post_type"]
+    tried = tried.select(*group, "m", "width", F.when(dense, F.col("i")).otherwise(F.pmod(draw(seed, *group, "i"), F.col("N"))).alias("code")).distinct()
+    w = Window.partitionBy(*group).orderBy(draw(seed + 1, *group, "code"), "code")
+    kept = tried.withColumn("k", F.row_number().over(w)).where("k <= m").withColumn("i", F.expr("code div width")).withColumn("j", F.col("code") % F.col("width"))
+    kept = kept.withColumn("j", F.when(same & (F.col("j") >= F.col("i")), F.col("j") + 1).otherwise(F.col("j")))
+    place = types.withColumn("at", (F.row_number().over(Window.partitionBy("type").orderBy(draw(seed + 2, "name"), "name")) - 1).cast("bigint"))
+    x, y = place.select(F.col("type").alias("pre_type"), F.col("at").alias("i"), F.col("name").alias("pre")), place.select(F.col("type").alias("post_type"), F.col("at").alias("j"), F.col("name").alias("post"))
+    return kept.select(*group, "i", "j").join(x, ["pre_type", "i"]).join(y, ["post_type", "j"]).select("pre", "post", *group)
 
 
 def randomize(edges: DataFrame, mode: str, seed: int, nodes: DataFrame | None = None, rounds: int | None = None) -> DataFrame:

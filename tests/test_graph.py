@@ -180,6 +180,11 @@ def test_null_models(spark):
     for m in (5, 200, 800):
         e = nulls.random_edges(ends, m, 2).collect()
         assert len({tuple(r) for r in e}) == len(e) == m and all(r.pre != r.post for r in e)
+    kinds = ends.select("name", F.when(F.substring("name", 3, 1) < "4", "x").otherwise("y").alias("type"))
+    made = nulls.stub_matching(df, kinds, 3).collect()
+    assert len({(r.pre, r.post) for r in made}) == len(made) and all(r.pre != r.post for r in made)
+    count = lambda rows: sorted((r.pre_type, r.post_type, r.n) for r in rows.groupBy("pre_type", "post_type").agg(F.count("*").alias("n")).collect())
+    assert count(spark.createDataFrame(made)) == count(stats.with_types(df, kinds))
     with pytest.raises(ValueError):
         nulls.randomize(df, "other", 1)
 
