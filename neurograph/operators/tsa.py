@@ -1,4 +1,5 @@
-"""Time series against time series: correlations, lags, embeddings, tensors. Series are (series, t, value)."""
+"""Time series against time series: correlations, lags, embeddings, tensors. Series are (series, t, value), and may have a ``recording``: then only series of one
+recording are compared."""
 
 from __future__ import annotations
 
@@ -15,10 +16,11 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
-def _pairs(series: DataFrame) -> DataFrame:
-    """(a, b, t, x, y) of every two series at equal times. The join is on t, so a time's series meet in one place."""
-    a, b = series.select(F.col("series").alias("a"), "t", F.col("value").alias("x")), series.select(F.col("series").alias("b"), "t", F.col("value").alias("y"))
-    return a.join(b, "t").where("a < b")
+def _pairs(series: DataFrame, *keys: str) -> DataFrame:
+    """(keys, a, b, t, x, y) of every two series of a recording at equal times."""
+    on = [*keys, *(["recording"] if "recording" in series.columns else []), "t"]
+    a, b = series.select(*on, F.col("series").alias("a"), F.col("value").alias("x")), series.select(*on, F.col("series").alias("b"), F.col("value").alias("y"))
+    return a.join(b, on).where("a < b")
 
 
 def correlations(series: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
@@ -30,9 +32,7 @@ def correlations(series: DataFrame, start: int = 0, end: int | None = None) -> D
 def window_correlations(series: DataFrame, starts: DataFrame) -> DataFrame:
     """(size, mean_r): the mean over windows (size, start) and pairs of the correlation inside the window. Windows get their samples by an exploded list of times."""
     times = starts.select("size", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("t"))
-    s = times.join(series, "t")
-    a, b = s.select("size", "start", "t", F.col("series").alias("a"), F.col("value").alias("x")), s.select("size", "start", "t", F.col("series").alias("b"), F.col("value").alias("y"))
-    per = a.join(b, ["size", "start", "t"]).where("a < b").groupBy("size", "start", "a", "b").agg(pearson("x", "y").alias("r"))
+    per = _pairs(times.join(series, "t"), "size", "start").groupBy("size", "start", "a", "b").agg(pearson("x", "y").alias("r"))
     return per.groupBy("size").agg(F.avg("r").alias("mean_r"))
 
 

@@ -160,20 +160,20 @@ E = f"WITH {v.SERIES}"
 _R = "CASE WHEN stddev_pop(x.value) * stddev_pop(y.value) > 0 THEN covar_pop(x.value, y.value) / (stddev_pop(x.value) * stddev_pop(y.value)) END"
 
 
-@query(f"{E} SELECT x.series AS a, y.series AS b, {r(_R)} AS r FROM series x JOIN series y ON x.t = y.t AND x.series < y.series WHERE x.t < 63 GROUP BY ALL")
+@query(f"{E} SELECT x.series AS a, y.series AS b, {r(_R)} AS r FROM series x JOIN series y ON x.recording = y.recording AND x.t = y.t AND x.series < y.series WHERE x.t < 63 GROUP BY ALL")
 def pair_corr(spark, sf):
     return tsa.correlations(v.series(spark, sf), 0, 63)
 
 
 @query(f"""{E}, st(size, "start") AS (VALUES (8, 0), (8, 20), (8, 50), (16, 5), (16, 40)),
-q AS (SELECT size, "start", x.series AS a, y.series AS b, {_R} AS r FROM st JOIN series x ON x.t BETWEEN "start" AND "start" + size - 1 JOIN series y ON x.t = y.t AND x.series < y.series GROUP BY ALL)
+q AS (SELECT size, "start", x.series AS a, y.series AS b, {_R} AS r FROM st JOIN series x ON x.t BETWEEN "start" AND "start" + size - 1 JOIN series y ON x.recording = y.recording AND x.t = y.t AND x.series < y.series GROUP BY ALL)
 SELECT {n('size')} AS size, {r('avg(r)')} AS mean_r FROM q GROUP BY ALL""")
 def window_corr(spark, sf):
     starts = spark.createDataFrame([(8, 0), (8, 20), (8, 50), (16, 5), (16, 40)], "size int, start int")
     return tsa.window_correlations(v.series(spark, sf), starts)
 
 
-@query(f"""{E}, q AS (SELECT x.series AS a, y.series AS b, {_R} AS r FROM series x JOIN series y ON x.t = y.t AND x.series < y.series GROUP BY ALL), th(th) AS (VALUES (0.05), (0.1), (0.2))
+@query(f"""{E}, q AS (SELECT x.series AS a, y.series AS b, {_R} AS r FROM series x JOIN series y ON x.recording = y.recording AND x.t = y.t AND x.series < y.series GROUP BY ALL), th(th) AS (VALUES (0.05), (0.1), (0.2))
 SELECT {r('th')} AS threshold, {n()} AS n_pairs, {n('count(*) FILTER ((a + b) % 3 = 0)')} AS n_connected, {r('avg(((a + b) % 3 = 0)::INT)')} AS fraction FROM q, th WHERE abs(r) > th GROUP BY th""")
 def correlated_connected(spark, sf):
     q = tsa.correlations(v.series(spark, sf))
@@ -182,17 +182,19 @@ def correlated_connected(spark, sf):
 
 
 @query(f"""{E} SELECT x.series AS a, y.series AS b, {n('y.t - x.t')} AS lag, {r('coalesce(sum(x.value * y.value) / nullif(sqrt(sum(x.value * x.value) * sum(y.value * y.value)), 0), 0)')} AS c
-FROM series x JOIN series y ON y.t - x.t BETWEEN -10 AND 10 WHERE x.series = 0 AND y.series BETWEEN 1 AND 4 GROUP BY ALL""")
+FROM series x JOIN series y ON y.series = x.series + 1 AND y.t - x.t BETWEEN -10 AND 10 GROUP BY ALL""")
 def lag_xcorr(spark, sf):
-    pairs = spark.createDataFrame([(0, k) for k in range(1, 5)], "a bigint, b bigint")
+    ids = v.read(spark, sf, "embeddings").select("vec_id")
+    pairs = ids.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
     return tsa.cross_correlation(v.series(spark, sf), pairs, 10)
 
 
 @query(f"""{E}, c AS (SELECT x.series AS a, y.series AS b, y.t - x.t AS lag, coalesce(sum(x.value * y.value) / nullif(sqrt(sum(x.value * x.value) * sum(y.value * y.value)), 0), 0) AS c
-FROM series x JOIN series y ON y.t - x.t BETWEEN -10 AND 10 WHERE x.series = 0 AND y.series BETWEEN 1 AND 4 GROUP BY ALL)
+FROM series x JOIN series y ON y.series = x.series + 1 AND y.t - x.t BETWEEN -10 AND 10 GROUP BY ALL)
 SELECT a, b, {n('arg_min(lag, (-abs(round(c, 12)), lag))')} AS lag, {r('arg_min(c, (-abs(round(c, 12)), lag))')} AS c FROM c GROUP BY ALL""")
 def best_lag(spark, sf):
-    pairs = spark.createDataFrame([(0, k) for k in range(1, 5)], "a bigint, b bigint")
+    ids = v.read(spark, sf, "embeddings").select("vec_id")
+    pairs = ids.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
     return tsa.best_lag(tsa.cross_correlation(v.series(spark, sf), pairs, 10))
 
 
@@ -236,8 +238,8 @@ def label_coverage(spark, sf):
 
 @query()
 def tensor_impute(spark, sf):
-    """Embeddings as tensors of 8 x 8 x 8, a seventh of the cells missing, filled at rank 4."""
-    e = v.read(spark, sf, "embeddings").where("vec_id < 64").select("vec_id", F.posexplode("embedding").alias("p", "value"))
+    """All embeddings, eight at a time, as tensors of 8 x 8 x 8, a seventh of the cells held out and filled at rank 4."""
+    e = v.read(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "value"))
     cells = e.select(F.expr("vec_id div 8").alias("block"), (F.col("vec_id") % 8).cast("int").alias("i"), F.expr("cast(p div 8 as int)").alias("j"), (F.col("p") % 8).alias("k"), F.col("value").cast("double").alias("value"))
     return tsa.impute(cells.where((F.col("i") + F.col("j") * 3 + F.col("k") * 5) % 7 != 0), (8, 8, 8), 4, 30)
 

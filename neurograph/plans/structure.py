@@ -122,10 +122,9 @@ for _name in ("030T", "030C", "021D", "021U", "021C", "111U", "120C", "201", "30
 _CHAIN = motifs.hypermotif(motifs.triads()["030T"], 2, [(2, 1)])
 
 
-@query(_motif_sql(list(_CHAIN.edges)).replace("strong", "few").replace("few AS (SELECT pre, post FROM hops", "few AS (SELECT pre, post FROM hops WHERE CAST(pre AS BIGINT) < 60 AND CAST(post AS BIGINT) < 60 AND post IS NOT NULL AND pre <> post GROUP BY ALL), unused AS (SELECT pre, post FROM hops"))
+@query(_motif_sql(list(_CHAIN.edges)))
 def hyperchain2_030T(spark, sf):  # noqa: N802
-    e = v.user_hops(spark, sf).where("post is not null and pre <> post and cast(pre as bigint) < 60 and cast(post as bigint) < 60").select("pre", "post").distinct()
-    return motifs.search(e, _CHAIN)
+    return motifs.search(v.strong(spark, sf), _CHAIN)
 
 
 def _census_sql() -> str:

@@ -21,7 +21,7 @@ USER = """hops AS (SELECT CAST(user_id AS VARCHAR) AS pre, CAST(lead(user_id) OV
   strong AS (SELECT pre, post FROM hops WHERE post IS NOT NULL AND pre <> post GROUP BY ALL HAVING count(*) >= 2)"""
 SAMPLES = """samples AS (SELECT user_id AS neuron, CAST(0 AS BIGINT) AS trial, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS t, value,
   CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS stim FROM events)"""
-SERIES = "series AS (SELECT vec_id AS series, CAST(unnest(range(0, 64)) AS BIGINT) AS t, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings WHERE vec_id < 12)"
+SERIES = "series AS (SELECT label AS recording, vec_id AS series, CAST(unnest(range(0, 64)) AS BIGINT) AS t, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -73,6 +73,6 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
-    """Twelve embeddings as series of 64 samples."""
-    e = read(spark, sf, "embeddings").where("vec_id < 12").select(F.col("vec_id").alias("series"), F.posexplode("embedding").alias("t", "value"))
-    return e.select("series", F.col("t").cast("bigint").alias("t"), F.col("value").cast("double").alias("value"))
+    """Embeddings as series of 64 samples; those of a label are one recording."""
+    e = read(spark, sf, "embeddings").select(F.col("label").alias("recording"), F.col("vec_id").alias("series"), F.posexplode("embedding").alias("t", "value"))
+    return e.select("recording", "series", F.col("t").cast("bigint").alias("t"), F.col("value").cast("double").alias("value"))
