@@ -166,12 +166,12 @@ def edge_where(spark, sf):
     return _grouped(select.where(v.trade(spark, sf), {"region": "1"}, {"connection_type": "R"}))
 
 
-_TEN = ", ".join(f"'{p}{k}'" for p in "cs" for k in range(1, 11))
+_SOME = ", ".join(f"'{p}{k}'" for p in "cs" for k in range(1, 10))
 
 
-@query(_induced(f"name IN ({_TEN})"))
+@query(_induced(f"name IN ({_SOME})"))
 def subnetwork_nodes(spark, sf):
-    return _grouped(select.subnetwork(v.trade(spark, sf), names=[f"{p}{k}" for p in "cs" for k in range(1, 11)]))
+    return _grouped(select.subnetwork(v.trade(spark, sf), names=[f"{p}{k}" for p in "cs" for k in range(1, 10)]))
 
 
 @query(f"""WITH {v.TRADE}, {v.NODES}, w AS (SELECT DISTINCT pre, post, connection_type FROM trade WHERE connection_type = 'A' AND weight >= 50),
