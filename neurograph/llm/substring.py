@@ -150,6 +150,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     texts = docs.join(wanted, F.col("doc_id") == F.col("d")).select("doc_id", "m", "anchors", "text")
     windows = materialize(map_batches(texts, second, "doc_id bigint, mark int, at int, anchor bigint, hash bigint"), "windows")
     twice = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("anchor").alias("a"), F.col("hash").alias("h"), "lo")
+    twice = materialize(twice, "twice")  # else the join would take the aggregate's partitions, in which a passage of many documents can't be split
     hit = windows.join(twice, (F.col("anchor") == F.col("a")) & (F.col("hash") == F.col("h")) & (F.col("doc_id") > F.col("lo")))
     return rows, materialize(hit.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts")), "starts")
 
