@@ -11,7 +11,7 @@ Two ways to use it:
   corpus). Equal fingerprints are one row before that.
 * ``near_duplicates`` (the pipeline's stage; 5-word shingles, Jaccard similarity 0.8 or more) needs wide fingerprints (1024 bits), as at that
   similarity 64 bits differ in about ten, which no exact bucket scheme can follow. There buckets are min-hash keys, and within a bucket the
-  pivot table and the fingerprints decide which documents are the same as an earlier leader.
+  pivot table and the fingerprints decide which documents are near one another.
 
 Defined results: null and empty texts have no words and the fingerprint zero, linked like any other; texts of fewer words than a shingle
 are one shingle; rows with a null id keep a fingerprint and get the component of its smallest id; an empty table gives an empty result;
@@ -21,7 +21,7 @@ extra columns are ignored by ``fingerprints`` and ``components_of`` and kept by
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -189,55 +189,137 @@ def expected_bits(similarity: float) -> float:
     return WORDS * 64 * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
-class Leaders:
-    """The distinct members of one bucket so far, with their pivot table."""
+class Prints:
+    """The wide fingerprints of one bucket so far, with their pivot table; two are near if they differ in at most ``radius`` bits."""
 
     def __init__(self, radius: int):
-        self.radius, self.ids, self.n = radius, [], 0
+        self.radius, self.n = radius, 0
         self.prints, self.table = np.zeros((8, WORDS), np.uint64), np.zeros((8, PIVOTS), np.int32)
 
-    def find(self, fp: np.ndarray) -> int | None:
-        """The leader that ``fp`` is the same as; or None, and then it is the next leader (its id must be appended)."""
-        row = np.bitwise_count(_PIVOTS ^ fp).sum(1, dtype=np.int32)
-        near = np.flatnonzero(np.abs(self.table[: self.n] - row).max(1) <= self.radius) if self.n else ()
-        if len(near):
-            d = np.bitwise_count(self.prints[near] ^ fp).sum(1, dtype=np.int32)
-            if d.min() <= self.radius:
-                return self.ids[near[int(d.argmin())]]
+    def decode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        fp = np.frombuffer(raw, np.uint64)
+        return fp, np.bitwise_count(_PIVOTS ^ fp).sum(1, dtype=np.int32)
+
+    def near(self, x: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+        """Those of the members ``at`` that are near ``x``."""
+        at = at[np.abs(self.table[at] - x[1]).max(1) <= self.radius]
+        return at[np.bitwise_count(self.prints[at] ^ x[0]).sum(1, dtype=np.int32) <= self.radius]
+
+    def append(self, x: tuple[np.ndarray, np.ndarray]) -> None:
         if self.n == len(self.prints):
             self.prints, self.table = np.concatenate([self.prints] * 2), np.concatenate([self.table] * 2)
-        self.prints[self.n], self.table[self.n] = fp, row
+        self.prints[self.n], self.table[self.n] = x
         self.n += 1
-        return None
 
 
-def _lead(rows: DataFrame, radius: int, *by: str) -> DataFrame:
-    """Rows (key, id, fp, ...) sorted by ``by``: each becomes (key, id, fp, leader), leader null for a leader itself."""
+class Forest:
+    """Classes of the rows of one bucket so far. A row is compared with the first member of each other class, and then with all members of the
+    classes that these didn't join to it: pairs are passed over only if they are in one class already."""
+
+    def __init__(self, store):
+        self.store, self.ids, self.heads, self.merged, self.labels = store, [], {}, {}, np.zeros(8, np.int64)
+
+    def _find(self, label: int) -> int:
+        while label in self.merged:
+            label = self.merged[label]
+        return label
+
+    def add(self, i: int, label: int, raw: bytes | None) -> list[tuple[int, int]]:
+        """Links of the row ``i``, known to be in the class ``label``, to earlier rows of other classes."""
+        x, label, n, links = self.store.decode(raw), self._find(label), len(self.ids), []
+        if n == len(self.labels):
+            self.labels = np.concatenate([self.labels] * 2)
+        labels = self.labels[:n]
+        for first in (True, False):
+            at = np.fromiter((k for c, k in self.heads.items() if c != label), np.int64) if first else np.flatnonzero(labels != label)
+            for k in self.store.near(x, at).tolist() if len(at) else ():
+                if (c := int(labels[k])) != label:
+                    links.append((self.ids[k], i))
+                    if label in self.heads:
+                        labels[labels == c] = label
+                        self.heads[label] = min(self.heads[label], self.heads.pop(c))
+                        self.merged[c] = label
+                    else:
+                        self.merged[label], label = c, c
+        self.store.append(x)
+        self.ids.append(i)
+        self.labels[n] = label
+        self.heads.setdefault(label, n)
+        return links
+
+    def head(self) -> int:
+        """The first member of the largest class."""
+        found, counts = np.unique(self.labels[: len(self.ids)], return_counts=True)
+        return self.ids[self.heads[int(found[counts.argmax()])]]
+
+
+def _link(rows: DataFrame, store: Callable[[], object], label: str, batch: int) -> DataFrame:
+    """(key, a, b) from (key, unit, id, label, data): links of each unit of each key, and one row with b null and its head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found = None, Leaders(radius)
+        now, found, out = None, None, []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "a", "b"])
+
         for b in batches:
-            groups = list(zip(*[b.column(k).to_pylist() for k in by], strict=True))
-            ids, prints, leads = b.column("id").to_pylist(), b.column("fp").to_pylist(), []
-            for g, i, p in zip(groups, ids, prints, strict=True):
-                if g != now:
-                    now, found = g, Leaders(radius)
-                leader = found.find(np.frombuffer(p, np.uint64))
-                if leader is None:
-                    found.ids.append(i)
-                leads.append(leader)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), b.column("fp"), pa.array(leads, pa.int64())], ["key", "id", "fp", "leader"])
-
-    dealt = rows.repartition(*[F.col(k) for k in by]).sortWithinPartitions(*by, "id")
-    return materialize(map_batches(dealt, run, "key bigint, id bigint, fp binary, leader bigint", 4096), "leaders")
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, salts: int = 16) -> DataFrame:
+            for k, u, i, c, raw in zip(*[b.column(n).to_pylist() for n in ("key", "unit", "id", "label", "data")], strict=True):
+                if (k, u) != now:
+                    if found:
+                        out.append((now[0], found.head(), None))
+                    now, found = (k, u), Forest(store())
+                out += [(k, *pair) for pair in found.add(i, c, raw)]
+            yield flush()
+        if found:
+            out.append((now[0], found.head(), None))
+            yield flush()
+
+    dealt = rows.select("key", "unit", "id", "label", "data").repartition("key", "unit").sortWithinPartitions("key", "unit", "id")
+    return materialize(map_batches(dealt, run, "key bigint, a bigint, b bigint", batch), label)
+
+
+def connect(keyed: DataFrame, data: DataFrame, store: Callable[[], object], label: str, block: int = 256, batch: int = 4096) -> DataFrame:
+    """(a, b): links that join exactly those rows of ``keyed`` (key, id) that near pairs of one key join; ``data`` is (id, data).
+
+    Keys of over ``block`` rows are dealt to as many blocks as that takes. Blocks are linked in themselves, and their heads with one another. Where
+    that leaves a key in several classes, all pairs of its blocks are compared: each block of the largest class with each of the rest,
+    and the rest among themselves; so no pair of different classes is left out, and no task holds over about two blocks of a key.
+    """
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).alias("blocks"))
+    rows = materialize(keyed.join(sizes, "key"), label)
+    deal = lambda parts: F.pmod(F.xxhash64("id"), parts)
+    first = _link(rows.join(data, "id").withColumns({"unit": deal(F.col("blocks")), "label": F.col("id")}), store, label, batch)
+    links = first.where("b is not null").select("a", "b")
+    hot = rows.where("blocks > 1").select("key", "id")
+    if hot.isEmpty():
+        return links
+    heads = first.where("b is null").select("key", F.col("a").alias("id")).join(hot.select("key").distinct(), "key", "left_semi")
+    second = _link(heads.join(data, "id").withColumns({"unit": F.lit(0).cast("bigint"), "label": F.col("id")}), store, label, batch)
+    links = links.union(second.where("b is not null").select("a", "b"))
+    classes = components(links, label)
+    hot = materialize(hot.join(classes, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("label")), label)
+    counts = hot.groupBy("key", "label").agg(F.count("*").alias("n"))
+    split = counts.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("m"), F.sum("n").alias("n")).where("m < n")
+    split = split.select("key", "main", F.ceil(F.col("m") / block).alias("mains"), F.ceil((F.col("n") - F.col("m")) / block).alias("others"))
+    many = hot.join(split, "key")
+    if many.isEmpty():
+        return links
+    upto = lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
+    mine = F.when(F.col("label") == F.col("main"), deal(F.col("mains"))).otherwise(deal(F.col("others")))
+    unit = lambda a, b: F.concat_ws("/", a, b)
+    among = F.transform(upto("others"), lambda k: unit(F.least("mine", k), F.concat(F.lit("r"), F.greatest("mine", k).cast("string"))))
+    units = F.when(F.col("label") == F.col("main"), F.transform(upto("others"), lambda k: unit(F.col("mine"), k))).otherwise(F.concat(F.transform(upto("mains"), lambda k: unit(k, F.col("mine"))), among))
+    many = many.withColumn("mine", mine).select("key", "id", "label", F.explode(units).alias("unit"))
+    third = _link(many.join(data, "id"), store, label, batch)
+    return links.union(third.where("b is not null").select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, block: int = 256) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id of its class of near-duplicates, for each doc_id that isn't null.
 
-    Texts of the same words are one row first. Buckets are dealt out twice: by salt, where copies of a leader drop out, and then whole, with
-    the leaders that are left; so a group of any size is never in one task. A row is compared with leaders only, which is why two texts near the border
-    of ``similarity`` that both match one leader aren't compared with one another: they are in one class already.
+    Texts of the same words are one row first; the others are compared with all rows of their buckets that they aren't joined to yet (``connect``).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -253,15 +335,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     seen = materialize(map_batches(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), text), run, "id bigint, same binary, fp binary, keys array<bigint>"), "sketches")
     first = materialize(seen.groupBy("same").agg(F.min("id").alias("id")), "same")
-    rows = seen.join(first.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_semi")
-    keyed = rows.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = keyed.join(shared, "key", "left_semi")
-    rows = keyed.join(rows.select(F.col("id").alias("i"), "fp"), F.col("id") == F.col("i")).select("key", "id", "fp").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    rows = seen.join(first.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_semi").dropDuplicates(["id", "same"])
     radius = round(expected_bits(similarity) + 12)
-    some = _lead(rows, radius, "key", "salt")
-    rest = _lead(some.where("leader is null").drop("leader"), radius, "key")
-    links = some.union(rest).where("leader is not null").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    links = connect(rows.select("id", F.explode("keys").alias("key")), rows.select("id", F.col("fp").alias("data")), lambda: Prints(radius), "near", block)
     found = components(links, "near")
     whole = first.join(found, F.col("id") == F.col("node"), "left").select(F.col("same").alias("s"), F.coalesce("component", "id").alias("class_id"))
     return seen.join(whole, F.col("same") == F.col("s")).select(F.col("id").alias("doc_id"), "class_id")
