@@ -11,7 +11,7 @@ Two ways to use it:
   corpus). Equal fingerprints are one row before that.
 * ``near_duplicates`` (the pipeline's stage; 5-word shingles, Jaccard similarity 0.8 or more) needs wide fingerprints (1024 bits), as at that
   similarity 64 bits differ in about ten, which no exact bucket scheme can follow. There buckets are min-hash keys, and within a bucket the
-  pivot table and the fingerprints decide which documents are near one another.
+  pivot table and the fingerprints name the groups, in which the sets of shingles decide.
 
 Defined results: null and empty texts have no words and the fingerprint zero, linked like any other; texts of fewer words than a shingle
 are one shingle; rows with a null id keep a fingerprint and get the component of its smallest id; an empty table gives an empty result;
@@ -142,6 +142,8 @@ def components_of(prints: DataFrame, radius: int = 2) -> DataFrame:
 # Wide fingerprints, for the pipeline's stage.
 
 WORDS, BANDS, ROWS, PIVOTS = 16, 16, 4, 16
+#: Bits beyond the expected ones in which candidates may differ: over six standard deviations, and three for sets of 4 and 5 shingles, whose bits differ the most.
+SLACK = 76
 _SPREAD = np.array([mixed(100 + k) | 1 for k in range(WORDS)], np.uint64)
 _MIN_A = np.array([mixed(200 + k) | 1 for k in range(BANDS * ROWS)], np.uint64)
 _MIN_B = np.array([mixed(400 + k) for k in range(BANDS * ROWS)], np.uint64)
@@ -212,6 +214,36 @@ class Prints:
         self.n += 1
 
 
+class Sets:
+    """The shingle sets of one group of texts so far; two are near if their Jaccard similarity is ``similarity`` or more, compared exactly."""
+
+    def __init__(self, similarity: float, size: int, words: WordHashes):
+        self.similarity, self.size, self.words, self.sets, self.sizes = similarity, size, words, [], np.zeros(8, np.int64)
+
+    def decode(self, raw: bytes | None) -> np.ndarray:
+        return np.unique(word_shingles(self.words, raw, self.size))
+
+    def near(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        n = self.sizes[at]
+        at = at[np.minimum(n, len(x)) >= self.similarity * np.maximum(n, len(x)) - 1e-9] if len(x) else at[n == 0]
+        if not len(at) or not len(x):
+            return at
+        out = []
+        for part in np.array_split(at, len(at) // 256 + 1):
+            n = self.sizes[part]
+            flat = np.concatenate([self.sets[k] for k in part.tolist()])
+            hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+            common = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+            out.append(part[common >= self.similarity * (n + len(x) - common) - 1e-9])
+        return np.concatenate(out)
+
+    def append(self, x: np.ndarray) -> None:
+        if len(self.sets) == len(self.sizes):
+            self.sizes = np.concatenate([self.sizes] * 2)
+        self.sizes[len(self.sets)] = len(x)
+        self.sets.append(x)
+
+
 class Forest:
     """Classes of the rows of one bucket so far. A row is compared with the first member of each other class, and then with all members of the
     classes that these didn't join to it: pairs are passed over only if they are in one class already."""
@@ -320,6 +352,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """(doc_id, class_id): the smallest doc_id of its class of near-duplicates, for each doc_id that isn't null.
 
     Texts of the same words are one row first; the others are compared with all rows of their buckets that they aren't joined to yet (``connect``).
+    Fingerprints only gather candidates, within a radius that is wide for ``similarity``; what they join is one group, and in each group the sets of
+    shingles themselves are compared in the same way, so every link of a class is a pair of that similarity or more.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -336,9 +370,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     seen = materialize(map_batches(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint"), text), run, "id bigint, same binary, fp binary, keys array<bigint>"), "sketches")
     first = materialize(seen.groupBy("same").agg(F.min("id").alias("id")), "same")
     rows = seen.join(first.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_semi").dropDuplicates(["id", "same"])
-    radius = round(expected_bits(similarity) + 12)
+    radius = round(expected_bits(similarity) + SLACK)
     links = connect(rows.select("id", F.explode("keys").alias("key")), rows.select("id", F.col("fp").alias("data")), lambda: Prints(radius), "near", block)
-    found = components(links, "near")
+    groups = materialize(components(links, "near").select(F.col("component").alias("key"), F.col("node").alias("id")), "near")
+    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("binary").alias("data")).join(groups.select("id"), "id", "left_semi").distinct()
+    words = WordHashes()
+    found = components(connect(groups, texts, lambda: Sets(similarity, size, words), "exact", block, 512), "exact")
     whole = first.join(found, F.col("id") == F.col("node"), "left").select(F.col("same").alias("s"), F.coalesce("component", "id").alias("class_id"))
     return seen.join(whole, F.col("same") == F.col("s")).select(F.col("id").alias("doc_id"), "class_id")
 

@@ -155,3 +155,20 @@ def test_variants_of_one_text_against_brute_force(spark, block):
     assert set(want.values()) == {0}
     got = {r.doc_id: r.class_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block).collect()}
     assert got == want
+
+
+def test_pairs_below_the_similarity_stay_apart(spark):
+    """Copies just below 0.8 (0.76) are no links, copies just above (0.82) and short texts at exactly 0.8 are."""
+    rows = []
+    for g in range(30):
+        words = [f"w{g}x{k}" for k in range(300)]
+        for k, edits in enumerate((0, 8, 6)):
+            copy = list(words)
+            for j in range(edits):
+                copy[30 * j + 10 + k] = f"new{g}x{k}x{j}"
+            rows.append((10 * g + k, " ".join(copy)))
+        rows += [(10 * g + 5, " ".join(f"s{g}x{k}" for k in range(8))), (10 * g + 6, " ".join(f"s{g}x{k}" for k in range(9)))]
+    want = shingle_components(rows)
+    assert want == {i: i - 1 if i % 10 == 6 else i - 2 if i % 10 == 2 else i for i, _ in rows}
+    got = {r.doc_id: r.class_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want

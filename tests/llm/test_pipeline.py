@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,34 @@ def test_near_copies_against_brute_force(stages):
     assert {r.doc_id for r in stages[1].collect()} == set(same.values())
 
 
+def test_classes_are_components_of_pairs_at_the_stated_similarity(spark, stages):
+    """Classes of the documents that the first stage kept, against all pairs of 5-word Jaccard similarity 0.8 and more: no link less, no link more."""
+    from neurograph.llm.simhash import near_duplicates
+
+    docs = {}
+    for r in stages[0].select("doc_id", "text").collect():
+        w = (r.text or "").encode().lower().split()
+        docs[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    index, up = {}, {d: d for d in docs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for d, s in docs.items():
+        common = Counter(o for x in s for o in index.get(x, ()))
+        for o, n in common.items():
+            if n >= 0.8 * (len(s) + len(docs[o]) - n):
+                a, b = find(d), find(o)
+                up[max(a, b)] = min(a, b)
+        for x in s:
+            index.setdefault(x, []).append(d)
+    want = {d: find(d) for d in docs}
+    got = {r.doc_id: r.class_id for r in near_duplicates(stages[0]).collect()}
+    assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {} and got.keys() == want.keys()
+
+
 def test_edges(spark):
     rng = np.random.default_rng(3)
     prose = [" ".join(f"word{int(x)}" for x in rng.integers(0, 3000, 120)) + "." for _ in range(6)]
