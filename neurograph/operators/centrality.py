@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,10 +104,11 @@ def edge_betweenness(edges: DataFrame, directed: bool = False) -> DataFrame:
     return parts.groupBy("a", "b").agg(F.sum("v").alias("betweenness")).join(a, F.col("a") == F.col("_p")).join(b, F.col("b") == F.col("_q")).select("pre", "post", "betweenness")
 
 
-def percolation(edges: DataFrame, states: dict | None = None) -> DataFrame:
-    """(name, percolation): betweenness weighted by how much more percolated the source is than the target; all states 1 by default (then all are 0)."""
+def percolation(edges: DataFrame, states: dict | Callable[[str], float] | None = None) -> DataFrame:
+    """(name, percolation): betweenness weighted by how much more percolated the source is than the target; all states 1 by default (then all are 0).
+    ``states`` gives a name's state, as a function or a dict."""
     names, near = adjacency(edges)
-    x = np.array([(states or {}).get(n, 1.0) for n in names], float)
+    x = np.array([states(n) if callable(states) else (states or {}).get(n, 1.0) for n in names], float)
     n, order = len(names), np.sort(x)
     # sum over pairs of max(0, x_s - x_t)
     total = float((order * (2 * np.arange(n) - n + 1)).sum())

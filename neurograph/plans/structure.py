@@ -249,9 +249,7 @@ def betweenness(spark, sf):
 
 @query()
 def percolation(spark, sf):
-    e = v.strong(spark, sf)
-    states = {str(k): (k % 7) / 7 for k in range(20_000)}
-    return centrality.percolation(e, states)
+    return centrality.percolation(v.strong(spark, sf), lambda name: int(name) % 7 / 7)
 
 
 @query()

@@ -265,3 +265,15 @@ def test_layout(spark, typed):
         layout.positions(net.with_(neurons=nodes.withColumn("position", F.lit(None).cast(nodes.schema["position"].dataType))))
     with pytest.raises(AssertionError):
         layout.highlighted(nodes, ["z"])
+
+
+def test_percolation_states_at_any_id(spark, monkeypatch):
+    """The states of a network don't depend on how large its ids are: 70,000 is a multiple of 7."""
+    from neurograph.plans import structure
+
+    pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (2, 6), (6, 4), (5, 1)]
+    got = []
+    for shift in (0, 70_000):
+        monkeypatch.setattr(structure.v, "strong", lambda spark, sf, shift=shift: spark.createDataFrame([(str(a + shift), str(b + shift)) for a, b in pairs], "pre string, post string"))
+        got.append({int(r.name) - shift: round(r.percolation, 12) for r in structure.percolation(spark, "").collect()})
+    assert got[0] == got[1] and any(got[0].values())
