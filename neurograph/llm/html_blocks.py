@@ -9,9 +9,12 @@ from html import unescape
 #: Fixed values of HTML: elements that begin and end a block, that have no end tag, whose content isn't text, and that end an open one of the same set.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol option optgroup p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style iframe noembed noframes xmp template svg math object textarea title".split())
+RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select div article section body".split())
+#: Elements in which "/>" ends an element and which a block ends, and those in them that hold blocks again.
+FOREIGN, HOLDS = frozenset(["svg", "math"]), frozenset(["foreignobject", "desc", "annotation-xml"])
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
 #: Elements that can't be in a paragraph, so that they end it.
 ENDS_P = BLOCK - frozenset("body head html label button option optgroup select".split())
 
@@ -39,11 +42,11 @@ def _names(attributes: str) -> tuple[str, ...]:
 
 
 def leaves(html: str) -> list[Leaf]:
-    """The blocks that have text, in page order; white space is one space. Comments, scripts, styles and titles aren't text."""
+    """The blocks that have text, in page order; white space is one space. Comments and what is in ``RAW`` (scripts, styles, titles and the like) aren't text."""
     out: list[Leaf] = []
     stack: list[tuple[str, ...]] = []
     parts: list[tuple[str, bool]] = []
-    links, at, size = 0, 0, len(html)
+    links, foreign, at, size = 0, 0, 0, len(html)
     low = None
 
     def flush() -> None:
@@ -54,9 +57,10 @@ def leaves(html: str) -> list[Leaf]:
             parts.clear()
 
     def close(k: int) -> None:
-        nonlocal links
+        nonlocal links, foreign
         for e in stack[k:]:
             links -= e[0] == "a"
+            foreign -= e[0] in FOREIGN
         del stack[k:]
 
     while at < size:
@@ -88,6 +92,16 @@ def leaves(html: str) -> list[Leaf]:
             continue
         if tag in BLOCK:
             flush()
+        if (foreign or tag in FOREIGN) and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+            continue
+        if foreign and tag in BLOCK and tag != "title":
+            first = None
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in HOLDS:
+                    break
+                first = k if stack[k][0] in FOREIGN else first
+            if first is not None:
+                close(first)
         if tag in RAW:
             low = html.lower() if low is None and len(html.lower()) == size else low
             end = (low or html).find(f"</{tag}", at)
@@ -114,6 +128,7 @@ def leaves(html: str) -> list[Leaf]:
                     break
         if tag not in VOID:
             links += tag == "a"
+            foreign += tag in FOREIGN
             stack.append((tag, *_names(m[3])))
     flush()
     return out

@@ -94,3 +94,16 @@ def test_gradients():
         down = (lstm.run(x) * d).sum()
         p[at] = old
         assert abs((up - down) / 0.02 - g[at]) < 2e-2 * max(1, abs(g[at]))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>one</p><svg width="5" /><p>two</p>', ["one", "two"]), ("<p>one</p><svg hidden/><p>two</p>", ["one", "two"]), ("<p>one</p><svg><path d=M0><p>two</p>", ["one", "two"]),
+        ("<p>a <math><mi>x</mi></math> b</p>", ["a x b"]), ("<object data=x><p>else</p></object><p>two</p>", ["else", "two"]), ("<object data=x><p>one</p>", ["one"]),
+        ("<template><p>t</p></template><p>two</p>", ["t", "two"]), ("<svg><title>no</title><text>yes</text></svg><p>two</p>", ["yes", "two"]), ("<math/><p>one</p><script>no<p>no</p></script>", ["one"]),
+    ],
+)
+def test_only_raw_text_is_left_out(page, want):
+    """Vector graphics, formulas, objects and templates are elements like others, and lose no text after them."""
+    assert [leaf.text for leaf in html_blocks.leaves(page)] == want
