@@ -46,21 +46,21 @@ class Ids:
     """A text's ids as the library ``tokenizers`` gives them for a byte-level BPE file, as little-endian 32-bit bytes.
 
     With the same vocabulary as ranks the library ``tiktoken`` gives the same ids in a fifth of the time, so texts of common characters go
-    there; all others, and what that library refuses, go to ``tokenizers``.
+    there; all others, those that hold an added token, and what that library refuses, go to ``tokenizers``.
     """
 
     def __init__(self, path: str, ranks: str | None, pattern: str | None):
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         self.slow.no_truncation()
         self.slow.no_padding()
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = None
         if ranks:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def of(self, text: str) -> bytes:
-        if self.fast and not _COMMON.search(text):
+        if self.fast and not _COMMON.search(text) and not any(t in text for t in self.added):
             try:
                 return array("I", self.fast.encode_ordinary(text)).tobytes()
             except (ValueError, RuntimeError):  # the pattern's engine gives up on some very long texts

@@ -105,3 +105,10 @@ def test_edges(spark, edges, nothing, library):
     assert packing.pack_documents(nothing, *queries.PACKING).count() == 0
     again = packing.pack_documents(edges.where("doc_id = 5"), *queries.PACKING).collect()
     assert sum(r.length for r in again) == 2 * len(ids[4])
+
+
+def test_added_tokens_against_the_untouched_library():
+    plain, t = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.tokenizer(*queries.PACKING)
+    for text in ("<|endoftext|>", "one<|endoftext|>two <|endoftext|>", "日本<|endoftext|>語", "<|endoftext|", "plain text"):
+        assert list(np.frombuffer(t.of(text), "<u4")) == plain.encode(text, add_special_tokens=False).ids
+    assert list(np.frombuffer(t.of("<|endoftext|>"), "<u4")) == [50256]
