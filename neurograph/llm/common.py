@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,17 @@ from pyspark.sql.types import StructType
 SPACES = b" \t\n\r\x0b\x0c"
 #: Distinct words that a worker remembers before it starts anew.
 CACHE_WORDS = 1_000_000
+#: Folders of the tables that ``materialize`` wrote.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary folder, and a
+    cluster an error, as its machines would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="neurograph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -33,13 +39,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/neurograph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = 512) -> DataFrame:
-    """``mapInArrow`` with batches of ``rows`` rows, so that a batch of long texts stays small."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+def forget(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for ``tables``, once nothing that is still to run reads them."""
+    for t in tables:
+        if path := _WRITTEN.pop(t, None):
+            spark = t.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``rows`` rows and ``size`` bytes, but of one row at least."""
+    if batch.num_rows > rows:
+        for k in range(0, batch.num_rows, rows):
+            yield from slices(batch.slice(k, rows), rows, size)
+    elif batch.num_rows > 1 and batch.nbytes > size:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half), rows, size)
+        yield from slices(batch.slice(half), rows, size)
+    elif batch.num_rows:
+        yield batch
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = 512, size: int = 8 << 20) -> DataFrame:
+    """``mapInArrow`` whose kernel sees parts of at most ``rows`` rows and ``size`` bytes, whatever batches the session makes (64 MB by Spark's default)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(part for b in batches for part in slices(b, rows, size))
+
+    return df.mapInArrow(run, schema)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurograph.llm.common import materialize
+from neurograph.llm.common import forget, materialize
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -28,16 +28,19 @@ def components(links: DataFrame, label: str = "components", most_rounds: int = 6
     """(node, component) for every node of ``links`` (a, b), component the smallest node reachable.
 
     Nulls and links of a node to itself are left out. An empty table gives an empty result. Rounds grow with the logarithm of the longest
-    chain; the state is one row per node and link, never gathered in one place.
+    chain; the state is one row per node and link, never gathered in one place. A round's table goes once the next one is written.
     """
     edges = materialize(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     mark = None
     for _ in range(most_rounds):
-        edges = materialize(_star(_star(edges, False), True), label)
+        before, edges = edges, materialize(_star(_star(edges, False), True), label)
+        forget(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
     else:
         raise RuntimeError("the components didn't settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), label)
+    forget(edges)
+    return out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from neurograph.llm.common import map_batches
-from neurograph.llm.html_blocks import Leaf, leaves
+from neurograph.llm.html_blocks import Leaf, Node, leaves
 from neurograph.llm.html_pages import MARKS, page, unmarked
 
 PATH, OWN, WORDS, MEASURES = 256, 64, 48, 12
@@ -29,30 +29,52 @@ HIDDEN = 24
 
 
 class Features:
-    """Vectors of blocks; remembers paths and words of the task."""
+    """Vectors of blocks; remembers nodes and words of the task. ``root`` is the node above all pages, for ``leaves``."""
 
     def __init__(self):
-        self.paths: dict[tuple, np.ndarray] = {}
+        self.root, self.vectors = Node(), 0
+        self.bits: dict[str, tuple[int, int]] = {}
         self.words: dict[str, int] = {}
 
-    def _path(self, path: tuple) -> np.ndarray:
-        if (v := self.paths.get(path)) is None:
-            if len(self.paths) > 100_000:
-                self.paths.clear()
-            v = np.zeros(PATH + OWN, np.float32)
-            for e in path:
-                for name in e:
-                    v[zlib.crc32(name.encode()) % PATH] = 1
-            for e in path[-2:]:
-                for name in e:
-                    v[PATH + zlib.crc32(b"own " + name.encode()) % OWN] = 1
-            self.paths[path] = v
-        return v
+    def fresh(self) -> Node:
+        """The root for a further page; forgets the nodes of earlier pages once they are many."""
+        if self.vectors > 100_000:
+            self.root, self.vectors = Node(), 0
+        return self.root
+
+    def _bit(self, name: str) -> tuple[int, int]:
+        """A name's place among all, and among the own ones."""
+        if (at := self.bits.get(name)) is None:
+            if len(self.bits) > 500_000:
+                self.bits.clear()
+            at = self.bits[name] = zlib.crc32(name.encode()) % PATH, PATH + zlib.crc32(b"own " + name.encode()) % OWN
+        return at
+
+    def _path(self, node: Node) -> np.ndarray:
+        """The bits of all names above a block, and apart those of the last two elements."""
+        if node.vector is not None:
+            return node.vector
+        todo, at = [], node
+        while at.above and at.vector is None:
+            todo.append(at)
+            at = at.above
+        if at.vector is None:
+            at.vector = np.zeros(PATH + OWN, np.float32)
+        for n in reversed(todo):
+            v = n.above.vector.copy()
+            v[PATH:] = 0
+            for name in n.names:
+                v[list(self._bit(name))] = 1
+            for name in n.above.names:
+                v[self._bit(name)[1]] = 1
+            n.vector = v
+        self.vectors += len(todo)
+        return node.vector
 
     def of(self, blocks: list[Leaf]) -> np.ndarray:
         out = np.zeros((len(blocks), SIZE), np.float32)
         for k, b in enumerate(blocks):
-            out[k, : PATH + OWN] = self._path(b.path)
+            out[k, : PATH + OWN] = self._path(b.node)
             words = b.text.lower().split()
             if len(self.words) > 500_000:
                 self.words.clear()
@@ -66,7 +88,7 @@ class Features:
             n, text = len(words), b.text
             out[k, -MEASURES:] = (
                 np.log1p(n) / 5, min(1.0, b.linked / max(1, len(text))), text.count(".") / (n + 1), text.count(",") / (n + 1), sum(map(text.count, "0123456789")) / len(text),
-                "©" in text, text[-1] in ".!?", text[:1].isupper(), "|" in text or "·" in text, k / len(blocks), len(b.path) / 10, n > 12,
+                "©" in text, text[-1] in ".!?", text[:1].isupper(), "|" in text or "·" in text, k / len(blocks), b.node.depth / 10, n > 12,
             )
         return out
 
@@ -188,19 +210,20 @@ def trained(pages: int = 2000, seed: int = 11) -> Labeller:
     rng, f, xs, ys = np.random.default_rng(seed), Features(), [], []
     for _ in range(pages):
         html, wanted = page(rng)
-        found = leaves(html)
+        found = leaves(html, f.fresh())
         if found:
             marks = [re.search(f"{MARKS[0]}[0-9]+{MARKS[1]}", b.text) for b in found]
             ys.append(np.array([m is not None and m[0] in wanted for m in marks], np.float32))
-            xs.append(f.of([Leaf(b.path, unmarked(b.text) or ".", b.linked) for b in found]))
+            xs.append(f.of([Leaf(b.node, unmarked(b.text) or ".", b.linked) for b in found]))
     out = Labeller()
     out.fit(xs, ys)
     return out
 
 
 def main_text(pages: list[str | None], model: Labeller, features: Features) -> list[str]:
-    blocks = [leaves(p or "") for p in pages]
+    blocks = [leaves(p or "", features.root) for p in pages]
     kept = model.label([features.of(b) for b in blocks])
+    features.fresh()
     return ["\n\n".join(b.text for b, yes in zip(bs, ks, strict=True) if yes) for bs, ks in zip(blocks, kept, strict=True)]
 
 

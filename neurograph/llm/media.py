@@ -4,8 +4,8 @@
 of any such file, decodes the sample tables and gives codec, duration, sample byte ranges and key frames' byte ranges. Payloads are
 never decoded; ``samples`` reads them back by the tables alone.
 
-Defined results: a null text is an empty payload, padded to one unit of zeros; a file that isn't a container, is cut short or lacks a
-table raises ``ValueError`` in ``probe`` and gives nulls in ``probe_column``. Equal payloads give equal files.
+Defined results: a null text is an empty payload, padded to one unit of zeros; a file that isn't a container, is cut short, lacks a
+table, or whose tables contradict one another or the file's size raises ``ValueError`` in ``probe`` and gives nulls in ``probe_column``. Equal payloads give equal files.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from neurograph.llm.common import map_batches, raw_bytes
 
 UNIT, UNITS_A_CHUNK, KEY_EVERY, TIMESCALE = 64, 32, 64, 8000
+#: Deepest nesting of boxes that is read; sample tables lie five deep.
+MOST_NESTED = 32
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
@@ -73,10 +75,13 @@ def wrap(payload: bytes) -> bytes:
     return head + moov(base) + box(b"mdat", payload)
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, above: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, first byte of the body, end) of each box, outer ones first. Bodies of ``mdat`` aren't looked into."""
-    end = len(data) if end is None else end
-    while start < end:
+def boxes(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, first byte of the body, end) of each box, outer ones first. Bodies of ``mdat`` aren't looked into; boxes nested over MOST_NESTED deep are an error."""
+    open_boxes: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]
+    while open_boxes:
+        above, start, end = open_boxes.pop()
+        if start == end:
+            continue
         if start + 8 > end:
             raise ValueError("cut short within a box's head")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -89,9 +94,11 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, above: tuple[byte
         if stop > end or stop < body:
             raise ValueError(f"box {kind!r} reaches beyond its parent")
         yield (*above, kind), body, stop
+        open_boxes.append((above, stop, end))
         if kind in CONTAINERS:
-            yield from boxes(data, body, stop, (*above, kind))
-        start = stop
+            if len(above) >= MOST_NESTED:
+                raise ValueError("boxes are nested too deeply")
+            open_boxes.append(((*above, kind), body, stop))
 
 
 @dataclass
@@ -125,18 +132,24 @@ def _track(data: bytes, own: dict[bytes, tuple[int, int]]) -> Track:
     handler = data[own[b"hdlr"][0] + 8 : own[b"hdlr"][0] + 12].decode("latin-1") if b"hdlr" in own else ""
     at, end = own[b"stsz"]
     fixed, count = struct.unpack_from(">II", data, at + 4)
+    if count * fixed > len(data):
+        raise ValueError("the samples are larger than the file")
     sizes = np.full(count, fixed, np.int64) if fixed else _table(data, at, end, ">u4", 1, 8)[:, 0]
     chunk = _table(data, *own[b"co64"], ">u8", 1)[:, 0] if b"co64" in own else _table(data, *own[b"stco"], ">u4", 1)[:, 0]
     runs = _table(data, *own[b"stsc"], ">u4", 3)
     per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk) + 1))) if len(runs) else np.zeros(0, np.int64)
-    if len(per) != len(chunk) or per.sum() != count:
+    if len(per) != len(chunk) or per.sum() != count or len(runs) and runs[0, 0] != 1:
         raise ValueError("the chunk table doesn't hold as many samples as the size table")
+    if len(chunk) and not 0 <= int(chunk.min()) <= int(chunk.max()) <= len(data):
+        raise ValueError("a chunk lies beyond the file")
     before = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if count else np.zeros(0, np.int64)
     first = np.concatenate([[0], np.cumsum(per)[:-1]]) if len(per) else np.zeros(0, np.int64)
     offsets = before + np.repeat(chunk - (before[np.minimum(first, max(count - 1, 0))] if count else 0), per)
     if count and int((offsets + sizes).max()) > len(data):
         raise ValueError("a sample lies beyond the file")
     keys = _table(data, *own[b"stss"], ">u4", 1)[:, 0] - 1 if b"stss" in own else np.arange(count)
+    if len(keys) and not 0 <= int(keys.min()) <= int(keys.max()) < count:
+        raise ValueError("a key frame lies beyond the size table")
     timed = _table(data, *own[b"stts"], ">u4", 2)
     if int(timed[:, 0].sum()) != count:
         raise ValueError("the time table doesn't hold as many samples as the size table")
@@ -156,7 +169,7 @@ def probe(data: bytes) -> list[Track]:
         raise ValueError("not an ISO media file")
     try:
         return [_track(data, t) for t in tracks]
-    except struct.error as e:
+    except (struct.error, IndexError) as e:
         raise ValueError(f"a box is cut short: {e}") from e
 
 
@@ -209,9 +222,12 @@ def probe_column(df: DataFrame, key: str, media: str) -> DataFrame:
 
     def one(x: bytes | None) -> tuple:
         try:
-            t = probe(x or b"")[0]
-        except (ValueError, IndexError):
+            tracks = probe(x or b"")
+        except ValueError:
+            tracks = []
+        if not tracks:
             return None, None, None, None
+        t = tracks[0]
         return t.codec, t.duration / max(t.timescale, 1), len(t.sizes), [{"offset": a, "size": b} for a, b in t.key_ranges()]
 
     key_type = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))

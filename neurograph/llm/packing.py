@@ -38,6 +38,9 @@ TIERS = (2048, 1024, 512, 256)
 BLOCK, STEP = 1 << 20, 1 << 15
 
 
+#: Longest text that may hold a run of white space as long as itself: on runs of about a million the fast library's engine overflows its stack.
+LONGEST_RUN = 100_000
+_RUN = re.compile(rf"\s{{{LONGEST_RUN}}}")
 #: Texts of these characters only (Latin letters and usual punctuation) are classed alike by every version of the pattern's engines.
 _COMMON = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 
@@ -46,7 +49,8 @@ class Ids:
     """A text's ids as the library ``tokenizers`` gives them for a byte-level BPE file, as little-endian 32-bit bytes.
 
     With the same vocabulary as ranks the library ``tiktoken`` gives the same ids in a fifth of the time, so texts of common characters go
-    there; all others, those that hold an added token, and what that library refuses, go to ``tokenizers``.
+    there; all others, those that hold an added token or a very long run of white space, and what that library refuses, go to ``tokenizers``. The
+    string of an added token (``<|endoftext|>``) in a text is one id, as that library's plain call gives it.
     """
 
     def __init__(self, path: str, ranks: str | None, pattern: str | None):
@@ -60,11 +64,12 @@ class Ids:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def of(self, text: str) -> bytes:
-        if self.fast and not _COMMON.search(text) and not any(t in text for t in self.added):
+        if self.fast and not _COMMON.search(text) and not any(t in text for t in self.added) and not (len(text) >= LONGEST_RUN and _RUN.search(text)):
             try:
                 return array("I", self.fast.encode_ordinary(text)).tobytes()
-            except (ValueError, RuntimeError):  # the pattern's engine gives up on some very long texts
-                pass
+            except BaseException as e:  # the pattern's engine gives up on some very long texts, by an error of its own that is no Exception
+                if not isinstance(e, (ValueError, RuntimeError)) and type(e).__name__ != "PanicException":
+                    raise
         return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
 
 
@@ -78,7 +83,7 @@ class Packer:
     """Packs pieces (document, start, length) block by block. ``pack`` and ``finish`` give windows: (window, step group, pieces)."""
 
     def __init__(self, tiers: tuple[int, ...] = TIERS, step: int = STEP):
-        self.tiers, self.step, self.groups = tiers, step, 0
+        self.tiers, self.step, self.groups, self.room = tiers, step, 0, 0
         self.full: list[tuple[int, list]] = []
         self.waiting: dict[int, list] = {t: [] for t in tiers}
 
@@ -162,12 +167,19 @@ class Packer:
             self._route(*piece)
 
     def _grouped(self) -> list[tuple[int, int, list]]:
-        """Deals windows, the longest first, to step groups: powers of two fill a group exactly."""
-        out, room = [], 0
-        for window, pieces in sorted(self.full, key=lambda w: -w[0]):
-            if room < window:
-                self.groups, room = self.groups + 1, self.step
-            room -= window
+        """Deals windows to step groups, the longest first; the group that the block before left open is filled first. Sizes are powers of two, so a
+        group is filled exactly unless no window is short enough for its last gap."""
+        out, later = [], []
+        for w in sorted(self.full, key=lambda w: -w[0]):
+            if w[0] <= self.room:
+                self.room -= w[0]
+                out.append((w[0], self.groups - 1, w[1]))
+            else:
+                later.append(w)
+        for window, pieces in later:
+            if self.room < window:
+                self.groups, self.room = self.groups + 1, self.step
+            self.room -= window
             out.append((window, self.groups - 1, pieces))
         self.full = []
         return out

@@ -165,14 +165,16 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], min_precision: float
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> list[Rule]:
     """Learns from at most ``max_labels`` labelled rows (the bound of this fit), those with the smallest hash of the id.
 
-    A label is a row (doc_id, quality) with quality 0 for bad; rows that fail the base rules teach nothing.
+    A label is a row (doc_id, quality) with quality 0 for bad; rows that fail the base rules teach nothing. Rows that share a doc_id are all
+    labelled; the bound holds for them as well, by the hash of the id and then the statistics.
     """
     bound = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     bound = bound.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).select(F.col("doc_id").alias("lab_id"), "quality")
     rows = docs.select("doc_id", "text").join(F.broadcast(bound), F.col("doc_id") == F.col("lab_id"))  # at most max_labels rows of two numbers
     seen, stats = with_stats(rows.select("doc_id", "quality", "text"))
     seen = seen.where(~base_failed(stats)).select("doc_id", "quality", *[feature(n, stats).alias(n) for n in FEATURES])
-    got = sorted(seen.collect(), key=lambda r: (hash_of(r[0]), r[2:]))[: 2 * max_labels]
+    few = seen.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(max_labels)
+    got = sorted(few.collect(), key=lambda r: (hash_of(r[0]), r[2:]))
     if not got:
         return []
     x = np.array([r[2:] for r in got], np.float64)

@@ -26,13 +26,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every URL judged by the stated rules, else by associations mined from the URLs that those rules label."""
+    """Every URL judged by the stated rules, else by associations mined from the URLs that those rules label, and that hold on hosts they weren't mined from."""
     url = F.col("url")
     pages = read(spark, sf_dir, "pages").select("page_id", url_filters.host(url).alias("host"), url_filters.path(url).alias("path"))
     rule, said = url_filters.stated(RULES, F.col("host"), F.col("path"))
     pages = pages.select("page_id", "host", "path", rule.alias("rule"), said.alias("label"), url_filters.tokens(F.col("host"), F.col("path")).alias("tokens"))
-    seen, learned = url_filters.apply_rules(pages, "tokens", url_filters.mine(pages))
-    return seen.select("page_id", "host", "path", "rule", F.coalesce("label", f"{learned}.verdict").alias("verdict"), F.when(F.col("rule").isNull(), F.col(f"{learned}.because")).alias("because"))
+    seen, learned = url_filters.apply_rules(pages, "tokens", url_filters.learn(pages))
+    return seen.select("page_id", "host", "path", "rule", F.coalesce("label", f"{learned}.verdict").alias("verdict"), *[F.when(F.col("rule").isNull(), F.col(f"{learned}.{c}")).alias(c) for c in ("because", "confidence")])
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every revisit of the captures made of ``pages`` resolved to its earlier response."""
-    found = warc.resolve(captures(read(spark, sf_dir, "pages")), bucket_seconds=7 * 86_400)
+    found = warc.resolve(captures(read(spark, sf_dir, "pages")))
     entries = F.array_sort(F.transform(F.map_entries("merged_headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
     return found.select("record_id", "kind", "canonical_url", "status", "resolved_id", F.array_join(entries, "; ").alias("headers"))
 

@@ -16,6 +16,8 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from neurograph.llm.common import free_name
+
 #: Largest table that is broadcast.
 MOST_SLOTS = 1_048_583
 
@@ -52,10 +54,11 @@ def slot(key: Column, slots: int) -> Column:
 def place(df: DataFrame, key: str, shards: list[str], slots: int = 65_537) -> DataFrame:
     """``df`` with ``slot`` bigint and ``shard`` string."""
     spark = df.sparkSession
-    owners = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(fill(shards, slots))), "array<int>")).alias("slot_", "owner_"))
+    at = free_name(df, "at")
+    owners = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(fill(shards, slots))), "array<int>")).alias(at, "owner"))
     names = F.from_json(F.lit(json.dumps(shards)), "array<string>")
-    lookup = owners.select(F.col("slot_").cast("bigint").alias("slot_"), names[F.col("owner_")].alias("shard_"))
-    rest = [df[c] for c in df.columns if c.lower() not in ("slot", "shard")]
-    placed = df.select(*rest, slot(df[key], slots).alias("slot"))
+    lookup = owners.select(F.col(at).cast("bigint").alias(at), names[F.col("owner")].alias("shard"))
+    rest = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    placed = df.select(*[df[c] for c in rest], slot(df[key], slots).alias("slot"))
     # at most MOST_SLOTS rows, whatever the size of df
-    return placed.join(F.broadcast(lookup), F.col("slot") == F.col("slot_")).drop("slot_").withColumnRenamed("shard_", "shard")
+    return placed.join(F.broadcast(lookup), F.col("slot") == F.col(at)).select(*[placed[c] for c in rest], "slot", "shard")

@@ -6,9 +6,10 @@ without being compared; only survivors are compared bit by bit.
 
 Two ways to use it:
 
-* ``link`` finds every pair of 64-bit fingerprints at ``radius`` 2 or fewer bits. Pairs come from buckets: of 6 blocks at least 4 agree, so each
-  fingerprint is put into the 15 buckets of 4 blocks (over 42 agreeing bits: a bucket holds little but true neighbours, at any size of
-  corpus). Equal fingerprints are one row before that.
+* ``link`` finds every pair of 64-bit fingerprints at ``radius`` 2 or fewer bits. Pairs meet in buckets of fingerprints that agree in 2 of 4 blocks, as 2 bits
+  can't spoil more; of the pairs of a bucket the pivot table discards nearly all, and what it leaves is compared. (Bands of pivot distances as part of the
+  bucket's key were tried: distances to a pivot lie so close together that bands cost more copies than the pairs that they save.) Equal fingerprints are one
+  row before that.
 * ``near_duplicates`` (the pipeline's stage; 5-word shingles, Jaccard similarity 0.8 or more) needs wide fingerprints (1024 bits), as at that
   similarity 64 bits differ in about ten, which no exact bucket scheme can follow. There buckets are min-hash keys, and within a bucket the
   pivot table and the fingerprints name the groups, in which the sets of shingles decide.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurograph.llm.common import WordHashes, free_name, map_batches, materialize, raw_bytes
+from neurograph.llm.common import WordHashes, forget, free_name, map_batches, materialize, raw_bytes
 from neurograph.llm.components import components
 
 SEED = 42
@@ -109,32 +110,53 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _bucket_keys(fp: Column, blocks: int, radius: int) -> Column:
-    """The fingerprint with all but ``blocks - radius`` blocks masked, for each choice of blocks, beside the choice's number."""
+def _masks(blocks: int, radius: int) -> list[int]:
+    """For each choice of ``blocks - radius`` of the blocks that a fingerprint is cut into, the mask of their bits."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(blocks)]
-    return F.array(*[F.struct(F.lit(n).alias("choice"), fp.bitwiseAND(F.lit(_signed(sum(masks[k] for k in c)))).alias("bits")) for n, c in enumerate(combinations(range(blocks), blocks - radius))])
+    one = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(blocks)]
+    return [_signed(sum(one[k] for k in c)) for c in combinations(range(blocks), blocks - radius)]
 
 
-def link(distinct: DataFrame, radius: int = 2, blocks: int = 6, pivots: int = 12) -> DataFrame:
-    """(a, b) of every two fingerprints of ``distinct`` (fp, one row each) that differ in 1 to ``radius`` bits, once for each bucket they share."""
-    keyed = distinct.select("fp", F.explode(_bucket_keys(F.col("fp"), blocks, radius)).alias("k")).select("fp", "k.choice", "k.bits")
-    shared = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1").select("choice", "bits")
-    rows = materialize(keyed.join(shared, ["choice", "bits"]), "buckets").withColumn("d", pivot_distances(F.col("fp"), pivots))
-    a, b = rows.alias("a"), rows.alias("b")
-    far = reduce(F.greatest, [F.abs(F.col("a.d")[k] - F.col("b.d")[k]) for k in range(pivots)])
-    pairs = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp")) & (far <= radius))
-    return pairs.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+def candidates(distinct: DataFrame, radius: int = 2, blocks: int = 4, block: int = 2048) -> DataFrame:
+    """(choice, bits, parts, mine, unit, fp): the buckets that hold two fingerprints or more. A bucket is a choice of blocks in which fingerprints agree: of 4
+    blocks at least 2 do. Buckets of over ``block`` rows are dealt to parts; each two parts meet in one ``unit``, so no task holds over two parts of a bucket."""
+    kinds = F.array(*[F.struct(F.lit(n).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for n, m in enumerate(_masks(blocks, radius))])
+    keyed = distinct.select("fp", F.explode(kinds).alias("k")).select("fp", "k.choice", "k.bits")
+    shared = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1").select("choice", "bits", F.ceil(F.col("n") / block).alias("parts"))
+    rows = keyed.join(shared, ["choice", "bits"]).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    units = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda k: F.least("mine", k) * F.col("parts") + F.greatest("mine", k))
+    return rows.select("fp", "choice", "bits", "mine", "parts", F.explode(units).alias("unit"))
+
+
+def meetings(rows: DataFrame, radius: int = 2, pivots: int = 12, prune: bool = True) -> DataFrame:
+    """Rows of ``candidates`` as ``a`` and ``b``, every two of a unit whose pivot distances differ by at most ``radius`` in each coordinate."""
+    tabled = rows.withColumn("d", pivot_distances(F.col("fp"), pivots))
+    a, b = tabled.alias("a"), tabled.alias("b")
+    on = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("choice", "bits", "unit")])
+    if prune:
+        on = on & (reduce(F.greatest, [F.abs(F.col("a.d")[k] - F.col("b.d")[k]) for k in range(pivots)]) <= radius)
+    once = F.least("a.mine", "b.mine") * F.col("a.parts") + F.greatest("a.mine", "b.mine") == F.col("a.unit")
+    return a.join(b, on & (F.col("a.fp") < F.col("b.fp")) & once)
+
+
+def link(buckets: DataFrame, radius: int = 2, blocks: int = 4, pivots: int = 12) -> DataFrame:
+    """(a, b) of every two fingerprints of ``candidates`` (of the same radius and blocks) that differ in 1 to ``radius`` bits, once: in the first choice of
+    blocks in which they agree. A fingerprint has at most 2,080 such neighbours."""
+    met, differ = meetings(buckets, radius, pivots), F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, n) for n, m in enumerate(_masks(blocks, radius))])
+    return met.where((F.bit_count(differ) <= radius) & (first == F.col("a.choice"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def components_of(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) from (doc_id, fp): component_id is the smallest doc_id reachable over links."""
     prints = materialize(prints, "fingerprints")
     first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = link(first.select("fp"), radius)
+    buckets = materialize(candidates(first.select("fp"), radius), "buckets")
+    links = link(buckets, radius)
     ids = first.select(F.col("fp").alias("f"), "least")
     links = links.join(ids, F.col("a") == F.col("f")).select(F.col("least").alias("a"), "b").join(ids, F.col("b") == F.col("f")).select("a", F.col("least").alias("b"))
     found = components(links, "simhash")
+    forget(buckets)
     whole = first.join(found, F.col("least") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "least").alias("component_id"))
     return prints.join(whole, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
 
@@ -313,7 +335,7 @@ def _link(rows: DataFrame, store: Callable[[], object], label: str, batch: int)
 
 
 def connect(keyed: DataFrame, data: DataFrame, store: Callable[[], object], label: str, block: int = 256, batch: int = 4096) -> DataFrame:
-    """(a, b): links that join exactly those rows of ``keyed`` (key, id) that near pairs of one key join; ``data`` is (id, data).
+    """(node, component) of the rows of ``keyed`` (key, id) that near pairs of a key join; ``data`` is (id, data).
 
     Keys of over ``block`` rows are dealt to as many blocks as that takes. Blocks are linked in themselves, and their heads with one another. Where
     that leaves a key in several classes, all pairs of its blocks are compared: each block of the largest class with each of the rest,
@@ -322,30 +344,41 @@ def connect(keyed: DataFrame, data: DataFrame, store: Callable[[], object], labe
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).alias("blocks"))
     rows = materialize(keyed.join(sizes, "key"), label)
     deal = lambda parts: F.pmod(F.xxhash64("id"), parts)
-    first = _link(rows.join(data, "id").withColumns({"unit": deal(F.col("blocks")), "label": F.col("id")}), store, label, batch)
-    links = first.where("b is not null").select("a", "b")
+    found = [_link(rows.join(data, "id").withColumns({"unit": deal(F.col("blocks")), "label": F.col("id")}), store, label, batch)]
     hot = rows.where("blocks > 1").select("key", "id")
-    if hot.isEmpty():
-        return links
-    heads = first.where("b is null").select("key", F.col("a").alias("id")).join(hot.select("key").distinct(), "key", "left_semi")
-    second = _link(heads.join(data, "id").withColumns({"unit": F.lit(0).cast("bigint"), "label": F.col("id")}), store, label, batch)
-    links = links.union(second.where("b is not null").select("a", "b"))
-    classes = components(links, label)
-    hot = materialize(hot.join(classes, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("label")), label)
-    counts = hot.groupBy("key", "label").agg(F.count("*").alias("n"))
+    if not hot.isEmpty():
+        heads = found[0].where("b is null").select("key", F.col("a").alias("id")).join(hot.select("key").distinct(), "key", "left_semi")
+        found.append(_link(heads.join(data, "id").withColumns({"unit": F.lit(0).cast("bigint"), "label": F.col("id")}), store, label, batch))
+        found += _rest(hot, _joined(found, label), data, store, label, block, batch)
+    out = _joined(found, label)
+    forget(rows, *found)
+    return out
+
+
+def _joined(found: list[DataFrame], label: str) -> DataFrame:
+    return components(reduce(DataFrame.union, [f.where("b is not null").select("a", "b") for f in found]), label)
+
+
+def _rest(hot: DataFrame, classes: DataFrame, data: DataFrame, store: Callable[[], object], label: str, block: int, batch: int) -> list[DataFrame]:
+    """Links of the keys whose rows ``hot`` (key, id) are in several classes yet: all pairs of blocks that can hold rows of two classes."""
+    deal = lambda parts: F.pmod(F.xxhash64("id"), parts)
+    placed = materialize(hot.join(classes, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("label")), label)
+    counts = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
     split = counts.groupBy("key").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("m"), F.sum("n").alias("n")).where("m < n")
     split = split.select("key", "main", F.ceil(F.col("m") / block).alias("mains"), F.ceil((F.col("n") - F.col("m")) / block).alias("others"))
-    many = hot.join(split, "key")
+    many = placed.join(split, "key")
     if many.isEmpty():
-        return links
+        forget(classes, placed)
+        return []
     upto = lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
     mine = F.when(F.col("label") == F.col("main"), deal(F.col("mains"))).otherwise(deal(F.col("others")))
     unit = lambda a, b: F.concat_ws("/", a, b)
     among = F.transform(upto("others"), lambda k: unit(F.least("mine", k), F.concat(F.lit("r"), F.greatest("mine", k).cast("string"))))
     units = F.when(F.col("label") == F.col("main"), F.transform(upto("others"), lambda k: unit(F.col("mine"), k))).otherwise(F.concat(F.transform(upto("mains"), lambda k: unit(k, F.col("mine"))), among))
     many = many.withColumn("mine", mine).select("key", "id", "label", F.explode(units).alias("unit"))
-    third = _link(many.join(data, "id"), store, label, batch)
-    return links.union(third.where("b is not null").select("a", "b"))
+    out = _link(many.join(data, "id"), store, label, batch)
+    forget(classes, placed)
+    return [out]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, block: int = 256) -> DataFrame:
@@ -371,11 +404,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     first = materialize(seen.groupBy("same").agg(F.min("id").alias("id")), "same")
     rows = seen.join(first.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_semi").dropDuplicates(["id", "same"])
     radius = round(expected_bits(similarity) + SLACK)
-    links = connect(rows.select("id", F.explode("keys").alias("key")), rows.select("id", F.col("fp").alias("data")), lambda: Prints(radius), "near", block)
-    groups = materialize(components(links, "near").select(F.col("component").alias("key"), F.col("node").alias("id")), "near")
+    near = connect(rows.select("id", F.explode("keys").alias("key")), rows.select("id", F.col("fp").alias("data")), lambda: Prints(radius), "near", block)
+    groups = materialize(near.select(F.col("component").alias("key"), F.col("node").alias("id")), "near")
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("binary").alias("data")).join(groups.select("id"), "id", "left_semi").distinct()
     words = WordHashes()
-    found = components(connect(groups, texts, lambda: Sets(similarity, size, words), "exact", block, 512), "exact")
+    found = connect(groups, texts, lambda: Sets(similarity, size, words), "exact", block, 512)
+    forget(groups)
     whole = first.join(found, F.col("id") == F.col("node"), "left").select(F.col("same").alias("s"), F.coalesce("component", "id").alias("class_id"))
     return seen.join(whole, F.col("same") == F.col("s")).select(F.col("id").alias("doc_id"), "class_id")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurograph.llm.common import WordHashes, free_name, map_batches, materialize, raw_bytes
+from neurograph.llm.common import WordHashes, forget, free_name, map_batches, materialize, raw_bytes
 
 WINDOW, GRAM = 50, 8
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -152,7 +152,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     twice = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("anchor").alias("a"), F.col("hash").alias("h"), "lo")
     twice = materialize(twice, "twice")  # else the join would take the aggregate's partitions, in which a passage of many documents can't be split
     hit = windows.join(twice, (F.col("anchor") == F.col("a")) & (F.col("hash") == F.col("h")) & (F.col("doc_id") > F.col("lo")))
-    return rows, materialize(hit.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts")), "starts")
+    starts = materialize(hit.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts")), "starts")
+    forget(wanted, windows, twice)
+    return rows, starts
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

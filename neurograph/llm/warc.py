@@ -4,11 +4,13 @@ A revisit takes the latest earlier full response of its canonical URL. If a vali
 record has one in common, it isn't resolved. A resolved revisit has the response's headers, replaced by those of its own headers that a
 304 may change.
 
-The as-of join is a window over each URL's time line, cut into buckets of time: each bucket's last response is found first (a grouped aggregate),
-the last one of any earlier bucket is carried over those few rows, and then a window looks inside each bucket. So a URL with a third of all
-records is spread over its buckets; a bucket holds as many records as its URL has captures in that time.
+The as-of join is a window over each URL's time line, cut where Spark's sampled range bounds over (URL, time, record id) cut all records into even parts:
+each part's last response is found first (a grouped aggregate), the last one of any earlier part is carried over those few rows, and then a window
+looks inside each part. So a URL with a third of all records, even of one second, is spread over a third of the parts. The parts are written before
+they are read, as bounds may be drawn otherwise when a lost task runs again.
 
-Defined results: records with a null URL, time or kind stay, unresolved (``no-key``); captures of equal time go by record id, a revisit never takes a
+Defined results: records with a null URL, time or kind stay, unresolved (``no-key``), and so do records of other kinds than the two
+(``other-kind``); ETags are compared weakly (``W/"x"`` is ``"x"``), as a 304 is; captures of equal time go by record id, a revisit never takes a
 response of the same time and a larger id; repeated rows are all returned; null headers count as none; an empty table gives an empty result; extra columns
 stay, and those called like an output column are replaced.
 """
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from neurograph.llm.common import materialize
+
 #: Headers that a 304 doesn't replace, as they describe the stored body.
 BODY_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "trailer", "transfer-encoding")
 TRACKING = ("fbclid", "gclid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
@@ -48,16 +52,18 @@ def merged(stored: Column, own: Column) -> Column:
     return F.map_concat(old, fresh)
 
 
-def resolve(records: DataFrame, bucket_seconds: int = 86_400, url: str = "url", at: str = "ts", key: str = "record_id", kind: str = "kind", headers: str = "headers") -> DataFrame:
+def resolve(records: DataFrame, url: str = "url", at: str = "ts", key: str = "record_id", kind: str = "kind", headers: str = "headers") -> DataFrame:
     """``records`` with OUTPUT. ``kind`` is ``response`` or ``revisit``; ``ts`` is in seconds (bigint); ``headers`` map<string,string>.
 
-    status: ``response``, ``resolved``, ``changed`` (validators differ), ``unverified`` (none in common), ``no-response`` or ``no-key``.
+    status: ``response``, ``resolved``, ``changed`` (validators differ), ``unverified`` (none in common), ``no-response``, ``other-kind`` or ``no-key``.
     """
     rest = [c for c in records.columns if c.lower() not in OUTPUT]
     rows = records.select(F.struct(*[records[c] for c in rest]).alias("r"))
-    rows = rows.withColumn("u", canonical_url(F.col(f"r.{url}"))).withColumn("t", F.col(f"r.{at}").cast("bigint")).withColumn("bucket", F.floor(F.col("t") / bucket_seconds))
+    rows = rows.withColumn("u", canonical_url(F.col(f"r.{url}"))).withColumn("t", F.col(f"r.{at}").cast("bigint"))
     full = F.when(F.col(f"r.{kind}") == "response", F.struct(F.col("t").alias("t"), F.col(f"r.{key}").alias("i"), F.col(f"r.{headers}").alias("h")))
-    keyed = rows.where(F.col("u").isNotNull() & F.col("t").isNotNull() & F.col(f"r.{kind}").isNotNull()).withColumn("full", full)
+    known = F.col("u").isNotNull() & F.col("t").isNotNull() & F.coalesce(F.col(f"r.{kind}").isin("response", "revisit"), F.lit(False))
+    dealt = rows.where(known).withColumn("i", F.col(f"r.{key}")).repartitionByRange("u", "t", "i").withColumn("bucket", F.spark_partition_id())
+    keyed = materialize(dealt, "captures").withColumn("full", full)
 
     order = F.struct(F.col("t"), F.col(f"r.{key}"))
     ends = keyed.where("full is not null").groupBy("u", "bucket").agg(F.max_by("full", order).alias("end"))
@@ -73,11 +79,11 @@ def resolve(records: DataFrame, bucket_seconds: int = 86_400, url: str = "url",
 
     verdict = F.when(F.col("from").isNull(), "no-response")
     for name in ("etag", "last-modified"):
-        a, b = validator("from.h", name), validator(f"r.{headers}", name)
+        a, b = (F.regexp_replace(validator(of, name), "^W/", "") for of in ("from.h", f"r.{headers}"))
         verdict = verdict.when(a == b, "resolved").when(a != b, "changed")
     status = F.when(F.col(f"r.{kind}") == "response", "response").otherwise(verdict.otherwise("unverified"))
     seen = seen.withColumn("status", status)
     hit = F.col("status") == "resolved"
     out = seen.select("r.*", F.col("u").alias("canonical_url"), "status", F.when(hit, F.col("from.i")).alias("resolved_id"), F.when(hit, merged(F.col("from.h"), F.col(f"r.{headers}"))).alias("merged_headers"))
-    lost = rows.where(F.col("u").isNull() | F.col("t").isNull() | F.col(f"r.{kind}").isNull())
-    return out.unionByName(lost.select("r.*", F.col("u").alias("canonical_url"), F.lit("no-key").alias("status"), F.lit(None).cast(records.schema[key].dataType).alias("resolved_id"), F.lit(None).cast("map<string,string>").alias("merged_headers")))
+    lost, missing = rows.where(~known), F.col("u").isNull() | F.col("t").isNull() | F.col(f"r.{kind}").isNull()
+    return out.unionByName(lost.select("r.*", F.col("u").alias("canonical_url"), F.when(missing, "no-key").otherwise("other-kind").alias("status"), F.lit(None).cast(records.schema[key].dataType).alias("resolved_id"), F.lit(None).cast("map<string,string>").alias("merged_headers")))

@@ -35,7 +35,7 @@ def test_held_out_pages(model):
         found = html_blocks.leaves(page)
         marks = [re.search("§[0-9]+¶", b.text) for b in found]
         truth = np.array([m is not None and m[0] in wanted for m in marks])
-        said = model.label([f.of([html_blocks.Leaf(b.path, html_pages.unmarked(b.text) or ".", b.linked) for b in found])])[0]
+        said = model.label([f.of([html_blocks.Leaf(b.node, html_pages.unmarked(b.text) or ".", b.linked) for b in found])])[0]
         right, n, whole = right + (said == truth).sum(), n + len(truth), whole + (said == truth).all()
     assert right / n > 0.98 and whole / 300 > 0.85
 
@@ -66,7 +66,7 @@ def test_blocks(page, texts):
 
 def test_paths():
     (a, b) = html_blocks.leaves("<div id='mainText' class=\"x-2 y\"><p>a<a href=x>bc</a></p></div><p>d")
-    assert a.path == (("div", ".main", ".text", ".x", ".2", ".y"), ("p",)) and a.linked == 2 and b.path == (("p",),)
+    assert a.node.path() == [("div", ".main", ".text", ".x", ".2", ".y"), ("p",)] and a.linked == 2 and b.node.path() == [("p",)]
 
 
 def test_edges(spark, model):
@@ -107,3 +107,31 @@ def test_gradients():
 def test_only_raw_text_is_left_out(page, want):
     """Vector graphics, formulas, objects and templates are elements like others, and lose no text after them."""
     assert [leaf.text for leaf in html_blocks.leaves(page)] == want
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<p title=don't>one</p><p>two</p>", ["one", "two"]), ("<p>a</p><p data-x=it's>b</p><p>c</p>", ["a", "b", "c"]), ('<p>x</p><img alt="a 5" screen" width=3><p>after</p>', ["x", "after"]),
+    ('<p title="open>text</p><p>more</p>', ["text", "more"]), ('<p title="u > v">w</p>', ["w"]), ("<a href = 'x>y'>in</a><p =a>z</p>", ["in", "z"]), ('<p a="1"b=\'2\'c>t</p>', ["t"]), ("<p 'lone \" quotes'>t</p><div>u</div>", ["t", "u"]),
+])
+def test_quotes_inside_tags(html, want):
+    """A quote counts right after "=" only, and only if it is closed; else ">" ends the tag."""
+    assert [b.text for b in html_blocks.leaves(html)] == want
+
+
+def test_deep_pages_take_memory_in_proportion(spark):
+    """Nested elements with a word each: nodes are shared, so a page of 40,000 levels is read, labelled and returned."""
+    import tracemalloc
+
+    page = "".join(f"<div class=c{k % 50}>w{k} " for k in range(40_000))
+    tracemalloc.start()
+    found = html_blocks.leaves(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 40_000 and found[-1].node.depth == 40_000 and peak < 80_000_000
+    df = spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string")
+    assert html_text.extract(df).count() == 1
+
+
+def test_paths_are_shared_and_equal():
+    one, two = html_blocks.leaves("<div class='a b'><p id=c>x</p><p id=c>y</p></div>")
+    assert one.node is two.node and one.node.path() == [("div", ".a", ".b"), ("p", ".c")]

@@ -73,3 +73,32 @@ def test_edges(spark, edges, nothing):
     assert len({tuple(r)[1:] for r in same}) == 1 and same[0].payload_bytes == 64
     stored = media.store_column(edges, "doc_id", "text").join(edges.select("doc_id", "text").distinct(), "doc_id").collect()
     assert all(media.samples(r.media, media.probe(r.media)[0]) == padded(r.text) for r in stored)
+
+
+def changed(data, kind, at, new):
+    """``data`` with ``new`` at ``at`` bytes into the body of its first box of that kind."""
+    k = data.index(kind) + 4 + at
+    return data[:k] + new + data[k + len(new) :]
+
+
+def test_damaged_files_are_nulls(spark):
+    """Every contradiction is a row of nulls of the column function, whatever the damage; none crashes or asks for memory beyond the file's size."""
+    good = media.store(b"text " * 2000)
+    huge = (2**32 - 1).to_bytes(4, "big")
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    bad = [
+        changed(good, b"stss", 8, (10**6).to_bytes(4, "big")), changed(good, b"stss", 8, bytes(4)), changed(good, b"stsz", 8, huge), changed(good, b"stsc", 12, huge), changed(good, b"stsc", 8, huge),
+        changed(good, b"stco", 8, huge), changed(good, b"stts", 8, huge), changed(good, b"mdhd", 0, b"\x01"), deep, media.box(b"ftyp") + deep, good[:60], good[:200], b"", b"\x00" * 100, media.box(b"ftyp", b"isom"), None,
+    ]
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        k = int(rng.integers(0, len(good) - len(b"text " * 2000)))
+        bad.append(good[:k] + rng.bytes(int(rng.integers(1, 9))) + good[k + 4 :])
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([good, *bad])], "doc_id bigint, media binary")
+    rows = {r.doc_id: r for r in media.probe_column(df, "doc_id", "media").collect()}
+    assert len(rows) == len(bad) + 1 and rows[0].codec.strip() == "raw" and rows[0].keyframes
+    assert all(rows[k + 1].codec is None and rows[k + 1].keyframes is None for k, x in enumerate(bad[:16]) if k not in (7,))
+    for r in rows.values():
+        assert r.keyframes is None or all(0 <= x.offset and x.offset + x.size <= 20_000 for x in r.keyframes)

@@ -55,3 +55,9 @@ def test_query_and_edges(spark, edges, nothing):
     assert sharding.place(nothing, "doc_id", ["a"], 7).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names(spark):
+    rows = sharding.place(spark.createDataFrame([(1, "a", "b", "c", "d", "e")], "doc_id bigint, slot_ string, shard_ string, at string, owner string, Slot string"), "doc_id", ["x", "y"], 7)
+    assert rows.columns == ["doc_id", "slot_", "shard_", "at", "owner", "slot", "shard"]
+    assert tuple(rows.first())[:5] == (1, "a", "b", "c", "d")

@@ -22,12 +22,37 @@ def test_query_equals_sql(spark):
     assert {r.status for r in rows} >= {"response", "resolved", "changed", "unverified"}
 
 
-def test_as_of_over_buckets(spark):
-    """Whatever the buckets, the latest earlier response is found."""
+def test_as_of_over_parts(spark):
+    """Into however many parts one URL's records are cut, the latest earlier response is found; also if all are of one second."""
     data = [(k, "http://a.b/c", 10 * k, "response" if k % 7 == 0 else "revisit", {"ETag": f"e{k // 7}"}) for k in range(60)]
-    for size in (1, 15, 1000, 10**9):
-        got = rows_of(spark, data, bucket_seconds=size)
-        assert {k: r.resolved_id for k, r in got.items()} == {k: None if k % 7 == 0 else k // 7 * 7 for k in range(60)}
+    want, before = {k: None if k % 7 == 0 else k // 7 * 7 for k in range(60)}, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert {k: r.resolved_id for k, r in rows_of(spark, data).items()} == want
+            assert {k: r.resolved_id for k, r in rows_of(spark, [(k, u, 5, *rest) for k, u, _, *rest in data]).items()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_a_hot_url_is_spread(spark):
+    """One URL with a third of all records, in one hour: no part holds much more than an even share."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(30_000).select(F.col("id").alias("record_id"), F.when(F.col("id") % 3 == 0, "http://hot/").otherwise(F.concat(F.lit("http://h"), F.col("id") % 997)).alias("url"), (F.col("id") % 3600).alias("ts"), F.when(F.col("id") % 4 == 0, "response").otherwise("revisit").alias("kind"), F.create_map().cast("map<string,string>").alias("headers"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = rows.repartitionByRange("url", "ts", "record_id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(dealt) == 8 and max(r[1] for r in dealt) < 1.5 * 30_000 / 8
+
+
+def test_other_kinds_and_weak_validators(spark):
+    data = [(1, "http://a", 1, "response", {"ETag": 'W/"x"'}), (2, "http://a", 2, "revisit", {"etag": '"x"'}), (3, "http://a", 3, "request", {"etag": '"x"'}), (4, "http://a", 4, None, {})]
+    assert {k: (r.status, r.resolved_id) for k, r in rows_of(spark, data).items()} == {1: ("response", None), 2: ("resolved", 1), 3: ("other-kind", None), 4: ("no-key", None)}
 
 
 def test_validators_and_headers(spark):
