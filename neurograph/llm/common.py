@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 SPACES = b" \t\n\r\x0b\x0c"
 #: Distinct words that a worker remembers before it starts anew.
 CACHE_WORDS = 1_000_000
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Folders of the tables that ``materialize`` wrote.
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -67,7 +68,11 @@ def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBat
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = 512, size: int = 8 << 20) -> DataFrame:
-    """``mapInArrow`` whose kernel sees parts of at most ``rows`` rows and ``size`` bytes, whatever batches the session makes (64 MB by Spark's default)."""
+    """``mapInArrow`` whose kernel sees parts of at most ``rows`` rows and ``size`` bytes, whatever batches the session makes. Where the session has no byte
+    bound of its own it gets this one, the same for all operators, as Spark's default of 64 MB is held several times over by each task."""
+    conf = df.sparkSession._jsparkSession.conf()
+    if not conf.contains(_BYTES):
+        conf.set(_BYTES, str(8 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(part for b in batches for part in slices(b, rows, size))
