@@ -54,6 +54,65 @@ class Network:
             raise ValueError(f"there is a group {name!r}")
         return replace(self, groups={**self.groups, name: self.connections.where(condition)})
 
+    def group(self, name: str) -> DataFrame:
+        """A group's members; KeyError if there is none of the name."""
+        return self.groups[name]
+
+    def _keys(self, name: str) -> list[str]:
+        return ["name"] if "name" in self.group(name).columns else [c for c in ("pre", "post", "uid", "connection_type") if c in self.group(name).columns]
+
+    def _rows(self, name: str, members: DataFrame | Iterable) -> DataFrame:
+        """Members as a table of the group's keys: names, or tuples of (pre, post) and what else tells parallel edges apart."""
+        if isinstance(members, DataFrame):
+            return members.select(*[c for c in self._keys(name) if c in members.columns]).distinct()
+        rows = [m if isinstance(m, tuple) else (m,) for m in members]
+        kinds = dict(self.group(name).dtypes)
+        keys = self._keys(name)[: len(rows[0]) if rows else None]
+        return self.neurons.sparkSession.createDataFrame(rows, ", ".join(f"{k} {kinds[k]}" for k in keys)).distinct()
+
+    def _with_group(self, name: str, members: DataFrame) -> Network:
+        return replace(self, groups={**self.groups, name: members})
+
+    def add_to_group(self, name: str, members: DataFrame | Iterable) -> Network:
+        """Members of the network join a group; those that are in it already stay once, and others aren't added."""
+        rows, keys = self._rows(name, members), self._keys(name)
+        whole = self.neurons if keys == ["name"] else self.connections
+        new = whole.join(rows, rows.columns, "left_semi").join(self.group(name).select(*keys), keys, "left_anti")
+        return self._with_group(name, self.group(name).unionByName(new, allowMissingColumns=True))
+
+    def remove_from_group(self, name: str, members: DataFrame | Iterable) -> Network:
+        """Members leave a group; those that aren't in it are passed over."""
+        rows = self._rows(name, members)
+        return self._with_group(name, self.group(name).join(rows, rows.columns, "left_anti"))
+
+    def pop_from_group(self, name: str, member: str | tuple) -> Network:
+        """One member leaves a group; KeyError if it isn't in it."""
+        if not self.in_group(name, member):
+            raise KeyError(member)
+        return self.remove_from_group(name, [member])
+
+    def clear_group(self, name: str) -> Network:
+        return self._with_group(name, self.group(name).limit(0))
+
+    def in_group(self, name: str, member: str | tuple) -> bool:
+        rows = self._rows(name, [member])
+        return not self.group(name).join(rows, rows.columns, "left_semi").isEmpty()
+
+    def group_size(self, name: str) -> int:
+        return self.group(name).count()
+
+    def set_group_property(self, name: str, key: str, value) -> Network:
+        """Sets an attribute of all members of a group, in the network and in the group."""
+        keys = self._keys(name)
+        marks = self.group(name).select(*keys).distinct().withColumn("_in", F.lit(True))
+
+        def changed(df: DataFrame) -> DataFrame:
+            old = F.col(key) if key in df.columns else F.lit(None)
+            return df.join(marks, keys, "left").withColumn(key, F.when(F.col("_in"), F.lit(value)).otherwise(old)).drop("_in")
+
+        side = "neurons" if keys == ["name"] else "connections"
+        return replace(self._with_group(name, self.group(name).withColumn(key, F.lit(value))), **{side: changed(getattr(self, side))})
+
     def delete_group(self, name: str) -> Network:
         return replace(self, groups={k: v for k, v in self.groups.items() if k != name})
 

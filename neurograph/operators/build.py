@@ -50,6 +50,26 @@ def create_connections(net: Network, connections: DataFrame) -> Network:
     return net.with_(connections=net.connections.unionByName(check_endpoints(net, connections), allowMissingColumns=True))
 
 
+def setup_connections(net: Network, rows: DataFrame, kind: str, input_type: str = "edge") -> Network:
+    """Adds edges from (pre, post, weight and further properties), all of one type. Only rows that are edges are read; NotImplementedError otherwise."""
+    if input_type == "adjacency":
+        return create_connections(net, explode_adjacency(rows, "adjacency", kind))
+    if input_type != "edge":
+        raise NotImplementedError(f"input type {input_type!r}")
+    return create_connections(net, rows.withColumn("connection_type", F.lit(kind)))
+
+
+def neurons_from(net: Network, other: Network, data: bool = True) -> Network:
+    """``net`` with the nodes of ``other`` that it lacks, with their attributes or by name only."""
+    new = other.neurons.join(net.neurons.select("name"), "name", "left_anti")
+    return net.with_(neurons=net.neurons.unionByName(new if data else new.select("name"), allowMissingColumns=True))
+
+
+def connections_from(net: Network, other: Network) -> Network:
+    """``net`` with the edges of ``other`` and their attributes; TypeError if an end isn't in ``net``."""
+    return create_connections(net, other.connections)
+
+
 def remove_neurons(net: Network, names: DataFrame) -> Network:
     """Nodes and all their edges go; TypeError if a name is unknown."""
     if names.join(net.neurons, "name", "left_anti").limit(1).count():

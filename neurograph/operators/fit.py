@@ -131,6 +131,32 @@ def windows(series: DataFrame, length: int = 100, step: int = 50) -> DataFrame:
     return rows.where(upto >= first).withColumn("window", F.explode(F.sequence(first, upto))).drop("_last")
 
 
+def refit(template: Parameters, bounds: dict[str, tuple[float, float]], real: DataFrame, length: int = 100, step: int = 50, trials: int = 25, rounds: int = 1, seed: int = 0, loss: Column | None = None) -> DataFrame:
+    """(window, trial, round, loss, params json): the search done in each window of ``real`` (name, t, real; t from 0) by itself, models starting anew at its first
+    sample. All windows' trials of a round are one simulation, with the window as a key; what comes to the driver is a row a trial."""
+    cut = windows(real, length, step).withColumn("t", (F.col("t") - F.col("window") * step).cast("double"))
+    fed = None if template.inputs is None else windows(template.inputs.withColumn("t", F.col("t").cast("bigint")), length, step).withColumn("t", F.col("t") - F.col("window") * step)
+    numbers = [r[0] for r in cut.select("window").distinct().orderBy("window").collect()]
+    spark, out = real.sparkSession, []
+    boxes = {w: dict(bounds) for w in numbers}
+    for r in range(rounds):
+        points = pd.concat([latin_hypercube(boxes[w], trials, seed + 1000 * r + k).assign(window=w) for k, w in enumerate(numbers)], ignore_index=True)
+        points.insert(0, "model_id", np.arange(len(points)) + r * len(points))
+        frame = spark.createDataFrame(points)
+        own = frame.select("model_id", "window")
+        p = applied(template.remove_inputs(), frame.drop("window"))
+        made = simulate(p.set_inputs(own.join(fed, "window").drop("window") if fed is not None else None), range(length))
+        value = squared_error() if loss is None else loss
+        bad = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+        scored = made.join(own, "model_id").join(cut, ["window", "name", "t"]).groupBy("model_id").agg(F.when(bad, F.lit(WORST)).otherwise(value).alias("loss")).toPandas()
+        joined = points.merge(scored, on="model_id")
+        out.append(pd.DataFrame({"window": joined["window"], "trial": joined["model_id"], "round": r, "loss": joined["loss"], "params": [json.dumps({k: float(row[k]) for k in bounds}) for _, row in joined.iterrows()]}))
+        for w, rows in joined.groupby("window"):
+            best, box = rows.sort_values(["loss", "model_id"]).iloc[0], boxes[w]
+            boxes[w] = {k: (max(lo, best[k] - (box[k][1] - box[k][0]) / 6), min(hi, best[k] + (box[k][1] - box[k][0]) / 6)) for k, (lo, hi) in bounds.items()}
+    return spark.createDataFrame(pd.concat(out, ignore_index=True)) if out and numbers else spark.createDataFrame([], "window bigint, trial bigint, round bigint, loss double, params string")
+
+
 def common_parameters(studies: DataFrame) -> DataFrame:
     """Keys that every study of (study, key, value) has, with their mean best value."""
     k = studies.agg(F.countDistinct("study").alias("_all"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,14 +97,3 @@ def dorso_ventral_classes(neurons: DataFrame) -> DataFrame:
 
 def fold_dorso_ventral(net: Network) -> Network:
     return fold_network(net, dorso_ventral_classes(net.neurons), data="collect")
-
-
-def strip_suffix_python(name: str) -> str:
-    """``suffix_class`` of one name, for drivers' lookups and tests."""
-    best = name
-    for s in sorted(SUFFIXES, key=len):
-        if name.endswith(s):
-            stem = name[: -len(s)]
-            if len(stem) > 2 or len(stem) == 2 and (re.search("[0-9]$", stem) or s[0].isdigit() or stem == "MC"):
-                best = stem
-    return best

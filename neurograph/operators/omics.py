@@ -119,3 +119,17 @@ def subunit_pairs(edges: DataFrame, expression: DataFrame, kind: str = GAP) -> D
 def with_pair(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Edges that have the pair (a, b)."""
     return pairs.where((F.col("pre_gene") == a) & (F.col("post_gene") == b)).select("pre", "post").distinct()
+
+
+def pair_histogram(edges: DataFrame, pairs: str = "pairs") -> DataFrame:
+    """(n_pairs, n, share): how many edges have that many putative pairs, and the share of edges with that many or fewer."""
+    counted = edges.groupBy(F.size(F.coalesce(pairs, F.array())).alias("n_pairs")).agg(F.count("*").alias("n"))
+    upto = Window.orderBy("n_pairs").rowsBetween(Window.unboundedPreceding, 0)  # over one row a count
+    return counted.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy()))
+
+
+def edges_by_pair(edges: DataFrame, ligand: str | None = None, kind: str | None = None, pairs: str = "pairs") -> DataFrame:
+    """(ligand, receptor, pre, post) of edges, each once for every putative pair; of one ligand or one type of edge if given."""
+    some = edges.where(F.col("connection_type") == kind) if kind else edges
+    out = some.select("pre", "post", F.explode(pairs).alias("p")).select("p.ligand", "p.receptor", "pre", "post")
+    return out.where(F.col("ligand") == ligand) if ligand else out

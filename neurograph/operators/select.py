@@ -98,3 +98,8 @@ def unique_markers(expression: DataFrame, inside: Column) -> DataFrame:
     e = F.col("expressed")
     marks = expression.groupBy("gene").agg(F.bool_and(F.when(inside, e)).alias("all_in"), F.bool_or(F.when(~inside, e)).alias("any_out"))
     return marks.where("all_in and not coalesce(any_out, false)").select("gene")
+
+
+def by_name(connections: DataFrame) -> DataFrame:
+    """``connections`` with ``names``, the pair of their ends' names."""
+    return connections.withColumn("names", F.struct("pre", "post"))

@@ -54,11 +54,38 @@ class Parameters:
     def set_inputs(self, inputs: DataFrame | None) -> Parameters:
         return Parameters(self.nodes, self.edges, inputs)
 
+    def remove_inputs(self) -> Parameters:
+        return Parameters(self.nodes, self.edges)
 
-def euler(w: np.ndarray, gain, tau, base, act: list[str], static, fed, ext: np.ndarray, times: np.ndarray, start=None) -> np.ndarray:
+    def update_nodes(self, rows: DataFrame) -> Parameters:
+        """From (name, and any of NODE and activation): values of single nodes; nulls and nodes without a row stay. ValueError for unknown names or columns."""
+        return Parameters(_updated(self.nodes, rows, ["name"], {*self.NODE, "activation"}), self.edges, self.inputs)
+
+    def update_edges(self, rows: DataFrame) -> Parameters:
+        """From (pre, post, weight): weights of single edges, as ``update_nodes``."""
+        return Parameters(self.nodes, _updated(self.edges, rows, ["pre", "post"], set(self.EDGE)), self.inputs)
+
+
+def _updated(now: DataFrame, rows: DataFrame, keys: list[str], known: set[str]) -> DataFrame:
+    keys = (["model_id"] if "model_id" in rows.columns else []) + keys
+    values = [c for c in rows.columns if c not in keys]
+    if unknown := set(values) - known:
+        raise ValueError(f"unknown parameters {sorted(unknown)}")
+    if not rows.join(now, keys, "left_anti").isEmpty():
+        raise ValueError("a row is of no node or edge of the model")
+    out = now.join(rows.select(*keys, *[F.col(c).alias(f"_{c}") for c in values]), keys, "left")
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in values}).select(*now.columns)
+
+
+#: Rate equations: relaxing, r' = (g f(x) - r) / tau; and leaking, r' = g x - r / tau without a function.
+FORMULAS = ("relax", "leak")
+
+
+def euler(w: np.ndarray, gain, tau, base, act: list[str], static, fed, ext: np.ndarray, times: np.ndarray, start=None, formula: str = "relax") -> np.ndarray:
     """Rates (time, node): r' = (g f(Σ w r + input + baseline) - r) / τ by explicit Euler steps. ``ext`` is (time, node), already times the gain.
 
-    Nodes with an input of their own don't listen to edges; static nodes have their input as rate.
+    Nodes with an input of their own don't listen to edges; static nodes have their input as rate. With the ``leak`` formula r' = g Σ w r + g input - r / τ,
+    and all nodes listen.
     """
     n = len(gain)
     out = np.zeros((len(times), n))
@@ -68,6 +95,10 @@ def euler(w: np.ndarray, gain, tau, base, act: list[str], static, fed, ext: np.n
     listen = ~fed
     for k in range(len(times) - 1):
         r = out[k]
+        if formula == "leak":
+            out[k + 1] = r + (gain * (w.T @ r) + ext[k] - r / tau) * (times[k + 1] - times[k])
+            out[k + 1, static] = ext[k + 1, static]
+            continue
         total = np.where(listen, w.T @ r, 0.0) + np.where(fed, ext[k], 0.0) + base
         f = np.empty(n)
         for a, mask in kinds.items():
@@ -77,9 +108,11 @@ def euler(w: np.ndarray, gain, tau, base, act: list[str], static, fed, ext: np.n
     return out
 
 
-def simulate(p: Parameters, times: Iterable[float]) -> DataFrame:
+def simulate(p: Parameters, times: Iterable[float], formula: str = "relax") -> DataFrame:
     """(model_id, name, t, rate) of every model. Models are spread over tasks, a model's time steps run in one."""
     ts = np.array(list(times), float)
+    if formula not in FORMULAS:
+        raise ValueError(f"unknown formula {formula!r}")
     if not len(ts):
         raise ValueError("time points must be set")
     model = [F.struct(F.lit("n").alias("kind"), F.col("name"), F.lit(None).cast("string").alias("other"), F.col("gain").cast("double").alias("a"), F.col("time_constant").cast("double").alias("b"), F.col("baseline").cast("double").alias("c"), F.col("activation").alias("act"), F.col("static"))]
@@ -104,7 +137,7 @@ def simulate(p: Parameters, times: Iterable[float]) -> DataFrame:
             if r.a in index:
                 ext[index[r.a], at[r.name]] += gain[at[r.name]] * r.b
         static = n["static"].to_numpy(bool)
-        rates = euler(w, gain, n["b"].to_numpy(float), n["c"].to_numpy(float), n["act"].tolist(), static, fed, ext, ts)
+        rates = euler(w, gain, n["b"].to_numpy(float), n["c"].to_numpy(float), n["act"].tolist(), static, fed, ext, ts, formula=formula)
         return pd.DataFrame({"model_id": pdf["model_id"].iloc[0], "name": np.tile(names, len(ts)), "t": np.repeat(ts, len(names)), "rate": rates.ravel()})
 
     return rows.groupBy("model_id").applyInPandas(run, f"model_id {dict(p.nodes.dtypes)['model_id']}, name string, t double, rate double")

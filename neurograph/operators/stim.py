@@ -40,7 +40,8 @@ def onset(samples: DataFrame, baseline: int, size: int = 10, deviations: float =
 
 
 def features(samples: DataFrame, baseline: int, auc_bin: int = 5, area_bin: int = 10) -> DataFrame:
-    """One row for each trial with FEATURES, and ``negative_area``."""
+    """One row for each trial with FEATURES, and ``negative_area``; ValueError for trials that ``validate`` refuses."""
+    validate(samples, baseline)
     v = F.col("value")
     basic = samples.groupBy(*KEYS).agg(F.max(v).alias("maximum"), F.min(v).alias("minimum"), F.avg(v).alias("mean"), (F.min_by("t", F.struct(-v, F.col("t"))) * STEP).alias("time_to_peak"))
     fine, coarse = samples.where(F.col("t") % auc_bin == 0), samples.where(F.col("t") % area_bin == 0)
@@ -66,6 +67,7 @@ def characteristics(samples: DataFrame, baseline: int) -> DataFrame:
     The duration is (index of the last sample at or below the end threshold - onset in seconds) * 0.2, mixed units included, as results depend on it;
     0 without an onset.
     """
+    validate(samples, baseline)
     w, v = over(), F.col("value")
     b = F.when(F.col("t") < baseline, v)
     s = samples.withColumn("_m", F.avg(b).over(w)).withColumn("_s", F.stddev_pop(b).over(w))

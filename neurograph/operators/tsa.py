@@ -3,6 +3,8 @@ recording are compared."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,29 +18,67 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
-def _pairs(series: DataFrame, *keys: str) -> DataFrame:
-    """(keys, a, b, t, x, y) of every two series of a recording at equal times."""
-    on = [*keys, *(["recording"] if "recording" in series.columns else []), "t"]
-    a, b = series.select(*on, F.col("series").alias("a"), F.col("value").alias("x")), series.select(*on, F.col("series").alias("b"), F.col("value").alias("y"))
-    return a.join(b, on).where("a < b")
-
-
 def correlations(series: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
-    """(a, b, r) over start <= t < end."""
+    """(a, b, r) over start <= t < end, of every two series of a recording over the times that both have; null if one of the two doesn't vary there.
+
+    A series is one array row; pairs of series with the same times are products of two arrays, and only others are joined sample by sample.
+    """
     some = series.where(F.col("t") >= start) if end is None else series.where((F.col("t") >= start) & (F.col("t") < end))
-    return _pairs(some).groupBy("a", "b").agg(pearson("x", "y").alias("r"))
+    on = ["recording"] if "recording" in series.columns else []
+    rows = some.groupBy(*on, "series").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("s"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v)
+    values, times = F.transform("s", lambda e: e["value"]), F.transform("s", lambda e: e["t"])
+    rows = rows.select(*on, "series", values.alias("v"), times.alias("times"))
+    rows = rows.withColumn("m", total(F.col("v")) / F.size("v"))
+    # centred values, and their energy, once a series
+    rows = rows.select(*on, "series", "times", F.transform("v", lambda x: x - F.col("m")).alias("v")).withColumn("e", total(F.transform("v", lambda x: x * x))).withColumn("k", F.xxhash64("times"))
+    a, b = (rows.select(*on, F.col("series").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("times", "v", "e", "k")]) for n in "ab")
+    met = (a.join(b, on) if on else a.crossJoin(b)).where("a < b")
+    same = (F.col("a_k") == F.col("b_k")) & (F.col("a_times") == F.col("b_times"))
+    dot = total(F.zip_with("a_v", "b_v", lambda x, y: x * y))
+    r = F.try_divide(dot, F.nullif(F.sqrt(F.col("a_e") * F.col("b_e")), F.lit(0.0)))
+    whole = met.where(same).select("a", "b", r.alias("r"))
+    x, y = (F.map_from_arrays(f"{n}_times", f"{n}_v") for n in "ab")
+    rest = met.where(~same).select("a", "b", y.alias("y"), F.explode(x).alias("t", "x")).select("a", "b", "x", F.try_element_at("y", "t").alias("y")).where("y is not null")
+    return whole.unionByName(rest.groupBy("a", "b").agg(pearson("x", "y").alias("r")))
 
 
 def window_correlations(series: DataFrame, starts: DataFrame) -> DataFrame:
-    """(size, mean_r): the mean over windows (size, start) and pairs of the correlation inside the window. Windows get their samples by an exploded list of times."""
-    times = starts.select("size", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("t"))
-    per = _pairs(times.join(series, "t"), "size", "start").groupBy("size", "start", "a", "b").agg(pearson("x", "y").alias("r"))
-    return per.groupBy("size").agg(F.avg("r").alias("mean_r"))
-
-
-def random_starts(spark, length: int, sizes: list[int], draws: int, seed: int) -> DataFrame:
-    rows = spark.range(draws).crossJoin(spark.createDataFrame([(s,) for s in sizes], "size int"))
-    return rows.select("size", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(length) - F.col("size") + 1).cast("int").alias("start")).distinct()
+    """(size, mean_r): the mean over windows (size, start) and pairs of the correlation inside the window, of series with a sample at each t from 0.
+
+    Pairs of a recording are one row each, with the running sums of their samples: a window's sums are two look-ups, so windows cost no samples again.
+    """
+    on = ["recording"] if "recording" in series.columns else []
+    one = _arrays(series)
+    a, b = one.select(*on, F.col("series").alias("a"), F.col("v").alias("x")), one.select(*on, F.col("series").alias("b"), F.col("v").alias("y"))
+    pairs = (a.join(b, on) if on else a.crossJoin(b)).where("a < b and size(x) = size(y)")
+    zero = F.array(F.lit(0.0))
+    sums = {
+        "sx": F.col("x"), "sy": F.col("y"), "sxx": F.transform("x", lambda v: v * v), "syy": F.transform("y", lambda v: v * v), "sxy": F.zip_with("x", "y", lambda v, w: v * w),
+    }
+    running = lambda c: F.aggregate(c, zero, lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+    known = pairs.select("a", "b", *[running(c).alias(k) for k, c in sums.items()])
+    # windows are few (sizes times draws): one list in every row of pairs
+    windows = F.broadcast(starts.agg(F.collect_set(F.struct("size", "start")).alias("w")))
+    each = known.crossJoin(windows).select("*", F.explode("w").alias("win")).where(F.col("win.start") + F.col("win.size") < F.size("sx"))
+    d = {k: F.get(k, F.col("win.start") + F.col("win.size")) - F.get(k, F.col("win.start")) for k in sums}
+    n = F.col("win.size")
+    xx, yy, xy = d["sxx"] - d["sx"] * d["sx"] / n, d["syy"] - d["sy"] * d["sy"] / n, d["sxy"] - d["sx"] * d["sy"] / n
+    r = F.when((xx > 1e-12) & (yy > 1e-12), xy / F.sqrt(xx * yy))
+    return each.select(n.alias("size"), r.alias("r")).groupBy("size").agg(F.avg("r").alias("mean_r"))
+
+
+def _arrays(series: DataFrame) -> DataFrame:
+    """(recording, series, v, t0): each series as one row, its values in order of t and its first t."""
+    on = ["recording"] if "recording" in series.columns else []
+    rows = series.groupBy(*on, "series").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("s"))
+    return rows.select(*on, "series", F.transform("s", lambda e: e["value"]).alias("v"), F.element_at("s", 1)["t"].alias("t0"))
+
+
+def starts(length: int, sizes: Iterable[int], draws: int, seed: int) -> list[tuple[int, int]]:
+    """(size, start) of ``draws`` random windows of each size inside ``length`` samples, repeated ones once."""
+    rng = np.random.default_rng(seed)
+    return sorted({(size, int(x)) for size in sizes for x in rng.integers(0, length - size + 1, draws)})
 
 
 def connected_share(pairs: DataFrame, edges: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -74,11 +114,21 @@ def acceleration(series: DataFrame, dt: float, size: int = 5) -> DataFrame:
 
 
 def cross_correlation(series: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
-    """(a, b, lag, c): sum x(t) y(t + lag) by the root of both energies in the overlap, 0 without energy; ``pairs`` is (a, b)."""
-    x, y = series.select(F.col("series").alias("a"), F.col("t"), F.col("value").alias("x")), series.select(F.col("series").alias("b"), F.col("t").alias("u"), F.col("value").alias("y"))
-    lagged = pairs.join(x, "a").select("*", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")).withColumn("u", F.col("t") + F.col("lag")).join(y, ["b", "u"])
-    energy = F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))
-    return lagged.groupBy("a", "b", "lag").agg(F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), F.nullif(energy, F.lit(0.0))), F.lit(0.0)).alias("c"))
+    """(a, b, lag, c): sum x(t) y(t + lag) by the root of both energies in the overlap, 0 without energy; ``pairs`` is (a, b). Series have a sample at each t.
+
+    A series is one array, so a pair is one row: its lags are products of slices of the two arrays, and no sample is joined or shuffled by lag.
+    """
+    one = _arrays(series)
+    a, b = one.select(F.col("series").alias("a"), F.col("v").alias("x"), F.col("t0").alias("ta")), one.select(F.col("series").alias("b"), F.col("v").alias("y"), F.col("t0").alias("tb"))
+    lagged = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y", "ta", "tb", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
+    # x[i] meets y[i + shift]
+    lagged = lagged.withColumn("shift", (F.col("lag") + F.col("ta") - F.col("tb")).cast("int"))
+    lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("x"), F.size("y") - F.col("shift"))
+    cut = lagged.where(hi > lo).select("a", "b", "lag", F.slice("x", lo + 1, hi - lo).alias("x"), F.slice("y", lo + F.col("shift") + 1, hi - lo).alias("y"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    energy = F.sqrt(total(F.transform("x", lambda v: v * v)) * total(F.transform("y", lambda v: v * v)))
+    dot = total(F.zip_with("x", "y", lambda v, w: v * w))
+    return cut.select("a", "b", "lag", F.coalesce(F.try_divide(dot, F.nullif(energy, F.lit(0.0))), F.lit(0.0)).alias("c"))
 
 
 def best_lag(c: DataFrame) -> DataFrame:

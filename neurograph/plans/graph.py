@@ -214,10 +214,16 @@ def weight_gt_neighbors(spark, sf):
     return neighbors.all_connected(v.users(spark, sf), 1)
 
 
-@query(f"WITH {v.USER} SELECT DISTINCT CASE WHEN pre = '7' THEN post ELSE pre END AS name FROM steps WHERE pre = '7' OR post = '7'")
+@query(f"""WITH {v.USER} SELECT '7' AS name, CAST(k AS VARCHAR) AS other, EXISTS (SELECT 1 FROM steps WHERE (pre = '7' AND post = CAST(k AS VARCHAR)) OR (post = '7' AND pre = CAST(k AS VARCHAR))) AS connected
+FROM range(0, 6) AS x(k)""")
 def connects_to(spark, sf):
-    found = neighbors.connections_of(v.users(spark, sf), "7")
-    return found.select(F.when(F.col("pre") == "7", F.col("post")).otherwise(F.col("pre")).alias("name")).distinct()
+    net = v.users(spark, sf)
+    return spark.createDataFrame([("7", str(k), neighbors.connects_to(net, "7", str(k))) for k in range(6)], "name string, other string, connected boolean")
+
+
+@query(f"""WITH {v.USER} SELECT pre, post, {n()} AS n FROM steps WHERE (pre = '7' AND post = '9') OR (pre = '9' AND post = '7') GROUP BY ALL""")
+def connections_between(spark, sf):
+    return neighbors.connections_between(v.users(spark, sf), "7", "9", directed=False).groupBy("pre", "post").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {v.USER} SELECT pre, post, connection_type, {r('weight')} AS weight FROM steps WHERE pre = '7' OR post = '7'")
@@ -291,12 +297,12 @@ def first_last_expressing(spark, sf):
     return e.where("expressed").join(ends, "gene").where("neuron = m or neuron = x").select("neuron", "gene")
 
 
-@query(f"""WITH {v.TRADE}, {v.NODES}, e AS (SELECT post AS gene, nation, max(weight) >= 50 AS expressed FROM trade JOIN nodes ON pre = name GROUP BY ALL)
-SELECT gene FROM e GROUP BY gene HAVING bool_and(expressed) FILTER (nation IN ('1', '2')) AND NOT coalesce(bool_or(expressed) FILTER (nation IN ('20', '21', '22')), false) AND count(*) FILTER (nation IN ('1', '2')) > 0""")
+@query(f"""WITH {v.TRADE}, e AS (SELECT pre AS gene, connection_type AS neuron, max(weight) >= 45 AS expressed FROM trade GROUP BY ALL)
+SELECT gene FROM e GROUP BY gene HAVING bool_and(expressed) FILTER (neuron IN ('A', 'R')) AND NOT coalesce(bool_or(expressed) FILTER (neuron NOT IN ('A', 'R')), false) AND count(*) FILTER (neuron IN ('A', 'R')) > 0""")
 def unique_markers(spark, sf):
-    net = v.trade(spark, sf)
-    e = net.connections.join(net.neurons, F.col("pre") == F.col("name")).groupBy(F.col("post").alias("gene"), F.col("nation").alias("neuron")).agg((F.max("weight") >= 50).alias("expressed"))
-    return select.unique_markers(e.where("neuron in ('1', '2', '20', '21', '22')"), F.col("neuron").isin("1", "2"))
+    """Customers with a large line among those of flags A and R, and among none of all other flags."""
+    e = v.trade(spark, sf).connections.groupBy(F.col("pre").alias("gene"), F.col("connection_type").alias("neuron")).agg((F.max("weight") >= 45).alias("expressed"))
+    return select.unique_markers(e, F.col("neuron").isin("A", "R"))
 
 
 @query(f"""WITH {v.USER}, lig AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS neuron, event_type AS ligand FROM events WHERE value > 120),
@@ -375,5 +381,6 @@ def map_cardinality(spark, sf):
 SELECT region, nation, connection_type, {n()} AS n, {r('sum(weight)')} AS weight FROM e GROUP BY GROUPING SETS ((region, nation, connection_type), (region, connection_type), (region), ())""")
 def edge_rollup(spark, sf):
     net = v.trade(spark, sf)
-    net.connections.join(net.neurons, F.col("pre") == F.col("name")).createOrReplaceTempView("edges_by_place")
-    return spark.sql("SELECT region, nation, connection_type, count(*) n, sum(weight) weight FROM edges_by_place GROUP BY GROUPING SETS ((region, nation, connection_type), (region, connection_type), (region), ())")
+    rows = net.connections.join(net.neurons, F.col("pre") == F.col("name"))
+    region, nation, kind = F.col("region"), F.col("nation"), F.col("connection_type")
+    return rows.groupingSets([[region, nation, kind], [region, kind], [region], []], region, nation, kind).agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))

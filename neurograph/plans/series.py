@@ -10,6 +10,7 @@ from neurograph.functions import kernels
 from neurograph.operators import fit, signal, simulate, stim, tsa
 from neurograph.plans import views as v
 from neurograph.plans.registry import n, query, r
+from neurograph.sources.tables import written
 
 S = f"WITH {v.SAMPLES}"
 W = "PARTITION BY neuron, trial ORDER BY t"
@@ -165,11 +166,23 @@ def pair_corr(spark, sf):
     return tsa.correlations(v.series(spark, sf), 0, 63)
 
 
-@query(f"""{E}, st(size, "start") AS (VALUES (8, 0), (8, 20), (8, 50), (16, 5), (16, 40)),
-q AS (SELECT size, "start", x.series AS a, y.series AS b, {_R} AS r FROM st JOIN series x ON x.t BETWEEN "start" AND "start" + size - 1 JOIN series y ON x.recording = y.recording AND x.t = y.t AND x.series < y.series GROUP BY ALL)
-SELECT {n('size')} AS size, {r('avg(r)')} AS mean_r FROM q GROUP BY ALL""")
+def _starts_sql(sizes: tuple[int, ...], draws: int) -> str:
+    """The drawn windows, as SQL can't draw the same."""
+    rows = ", ".join(f"({size}, {start})" for size, start in tsa.starts(64, sizes, draws, 3))
+    return f'st(size, "start") AS (VALUES {rows})'
+
+
+_SIZES = (8, 16, 24, 32, 40, 48)
+
+
+@query(f"""{E}, {_starts_sql(_SIZES, 100)}, p AS (SELECT x.series AS a, y.series AS b, x.t, x.value AS x, y.value AS y FROM series x JOIN series y ON x.recording = y.recording AND x.t = y.t AND x.series < y.series),
+c AS (SELECT a, b, t, sum(x) OVER w AS sx, sum(y) OVER w AS sy, sum(x * x) OVER w AS sxx, sum(y * y) OVER w AS syy, sum(x * y) OVER w AS sxy FROM p WINDOW w AS (PARTITION BY a, b ORDER BY t)),
+q AS (SELECT size, (e.sxy - coalesce(s.sxy, 0)) - (e.sx - coalesce(s.sx, 0)) * (e.sy - coalesce(s.sy, 0)) / size AS xy, (e.sxx - coalesce(s.sxx, 0)) - pow(e.sx - coalesce(s.sx, 0), 2) / size AS xx,
+  (e.syy - coalesce(s.syy, 0)) - pow(e.sy - coalesce(s.sy, 0), 2) / size AS yy FROM st JOIN c e ON e.t = "start" + size - 1 LEFT JOIN c s ON s.a = e.a AND s.b = e.b AND s.t = "start" - 1)
+SELECT {n('size')} AS size, {r('avg(CASE WHEN xx > 1e-12 AND yy > 1e-12 THEN xy / sqrt(xx * yy) END)')} AS mean_r FROM q GROUP BY ALL""")
 def window_corr(spark, sf):
-    starts = spark.createDataFrame([(8, 0), (8, 20), (8, 50), (16, 5), (16, 40)], "size int, start int")
+    """100 random windows of each size, over all pairs of all recordings."""
+    starts = spark.createDataFrame(tsa.starts(64, _SIZES, 100, 3), "size int, start int")
     return tsa.window_correlations(v.series(spark, sf), starts)
 
 
@@ -182,20 +195,20 @@ def correlated_connected(spark, sf):
 
 
 @query(f"""{E} SELECT x.series AS a, y.series AS b, {n('y.t - x.t')} AS lag, {r('coalesce(sum(x.value * y.value) / nullif(sqrt(sum(x.value * x.value) * sum(y.value * y.value)), 0), 0)')} AS c
-FROM series x JOIN series y ON y.series = x.series + 1 AND y.t - x.t BETWEEN -10 AND 10 GROUP BY ALL""")
+FROM series x JOIN series y ON y.series = x.series + 1 AND y.t - x.t BETWEEN -50 AND 50 GROUP BY ALL""")
 def lag_xcorr(spark, sf):
     ids = v.read(spark, sf, "embeddings").select("vec_id")
     pairs = ids.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
-    return tsa.cross_correlation(v.series(spark, sf), pairs, 10)
+    return tsa.cross_correlation(v.series(spark, sf), pairs, 50)
 
 
 @query(f"""{E}, c AS (SELECT x.series AS a, y.series AS b, y.t - x.t AS lag, coalesce(sum(x.value * y.value) / nullif(sqrt(sum(x.value * x.value) * sum(y.value * y.value)), 0), 0) AS c
-FROM series x JOIN series y ON y.series = x.series + 1 AND y.t - x.t BETWEEN -10 AND 10 GROUP BY ALL)
+FROM series x JOIN series y ON y.series = x.series + 1 AND y.t - x.t BETWEEN -50 AND 50 GROUP BY ALL)
 SELECT a, b, {n('arg_min(lag, (-abs(round(c, 12)), lag))')} AS lag, {r('arg_min(c, (-abs(round(c, 12)), lag))')} AS c FROM c GROUP BY ALL""")
 def best_lag(spark, sf):
     ids = v.read(spark, sf, "embeddings").select("vec_id")
     pairs = ids.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
-    return tsa.best_lag(tsa.cross_correlation(v.series(spark, sf), pairs, 10))
+    return tsa.best_lag(tsa.cross_correlation(v.series(spark, sf), pairs, 50))
 
 
 @query(f"""{E}, c AS (SELECT *, (sign(value) <> lag(sign(value)) OVER (PARTITION BY series ORDER BY t))::INT AS c FROM series)
@@ -258,7 +271,7 @@ def simulate_euler(spark, sf):
     return simulate.simulate(simulate.Parameters(nodes, edges, inputs), times)
 
 
-def _template(spark):
+def template(spark):
     nodes = spark.createDataFrame([(x, 1.0, 1.0, 0.0, "tanh", x == "in") for x in ("in", "a", "b", "c")], "name string, gain double, time_constant double, baseline double, activation string, static boolean")
     edges = spark.createDataFrame([("in", "a", 1.0), ("a", "b", 0.5), ("b", "c", 0.5), ("a", "c", -0.3)], "pre string, post string, weight double")
     inputs = spark.createDataFrame([("in", k * 0.1, math.sin(k * 0.1)) for k in range(100)], "name string, t double, value double")
@@ -268,7 +281,7 @@ def _template(spark):
 @query()
 def simulate_rates(spark, sf):
     """A sweep of 200 models of 100 steps, reduced to each model's largest rate."""
-    swept = simulate.sweep(_template(spark), 200, 1)
+    swept = simulate.sweep(template(spark), 200, 1)
     return simulate.simulate(swept, [k * 0.1 for k in range(100)]).groupBy("model_id", "name").agg(F.max("rate").alias("peak"))
 
 
@@ -277,10 +290,10 @@ def fit_random_search(spark, sf):
     """Two weights found again from a simulation that had them."""
     times = [k * 0.1 for k in range(60)]
     one = spark.createDataFrame([(0,)], "model_id bigint")
-    template = _template(spark)
-    truth = simulate.simulate(fit.applied(template, one), times).where("name = 'c'").select("name", "t", F.col("rate").alias("real"))
-    real = spark.createDataFrame(truth.toPandas())
-    return fit.search(template, {"weight:a:b": (-1.0, 1.0), "weight:b:c": (-1.0, 1.0)}, real, times, 32, 3, 5).groupBy("round").agg(F.min("loss").alias("best_loss"), F.count("*").alias("trials"))
+    model = template(spark)
+    truth = simulate.simulate(fit.applied(model, one), times).where("name = 'c'").select("name", "t", F.col("rate").alias("real"))
+    real = written(truth, "truth")
+    return fit.search(model, {"weight:a:b": (-1.0, 1.0), "weight:b:c": (-1.0, 1.0)}, real, times, 32, 3, 5).groupBy("round").agg(F.min("loss").alias("best_loss"), F.count("*").alias("trials"))
 
 
 @query(f"""{S}, w AS (SELECT neuron, t, value, unnest(range(greatest(0, ((t - 20 + 1) + 9) // 10), least(t // 10, ((max(t) OVER (PARTITION BY neuron)) + 1 - 20) // 10) + 1)) AS win FROM samples)

@@ -8,42 +8,43 @@ from neurograph.operators import centrality, layout, motifs, nulls, paths, stats
 from neurograph.plans import views as v
 from neurograph.plans.graph import sparse
 from neurograph.plans.registry import n, query, r
+from neurograph.sources.tables import written
 
 
-@query(f"""WITH {v.USER}, one AS (SELECT pre, post FROM strong WHERE pre IN ('1', '2', '3'))
+@query(f"""WITH {v.USER}, one AS (SELECT pre, post FROM follows WHERE pre IN ('1', '2', '3'))
 SELECT pre AS source, post AS target, {n('1')} AS length, pre || '>' || post AS nodes FROM one
-UNION ALL SELECT a.pre, b.post, {n('2')}, a.pre || '>' || a.post || '>' || b.post FROM one a JOIN strong b ON a.post = b.pre WHERE b.post <> a.pre""")
+UNION ALL SELECT a.pre, b.post, {n('2')}, a.pre || '>' || a.post || '>' || b.post FROM one a JOIN follows b ON a.post = b.pre WHERE b.post <> a.pre""")
 def paths_len2(spark, sf):
-    e = v.strong(spark, sf)
+    e = v.follows(spark, sf)
     found = paths.simple_paths(e, spark.createDataFrame([("1",), ("2",), ("3",)], "name string"), 2)
     return found.withColumn("nodes", F.array_join("nodes", ">"))
 
 
 @query(f"""WITH RECURSIVE {v.USER}, p AS (SELECT '1' AS target, 0 AS length, ['1'] AS nodes
-  UNION ALL SELECT e.post, length + 1, list_append(nodes, e.post) FROM p JOIN strong e ON e.pre = p.target WHERE length < 3 AND p.target <> '9' AND NOT list_contains(nodes, e.post))
+  UNION ALL SELECT e.post, length + 1, list_append(nodes, e.post) FROM p JOIN follows e ON e.pre = p.target WHERE length < 3 AND p.target <> '9' AND NOT list_contains(nodes, e.post))
 SELECT '1' AS source, target, {n('length')} AS length, array_to_string(nodes, '>') AS nodes FROM p WHERE target = '9'""")
 def paths_len3(spark, sf):
     one, nine = (spark.createDataFrame([(x,)], "name string") for x in "19")
-    return paths.simple_paths(v.strong(spark, sf), one, 3, nine).withColumn("nodes", F.array_join("nodes", ">"))
+    return paths.simple_paths(v.follows(spark, sf), one, 3, nine).withColumn("nodes", F.array_join("nodes", ">"))
 
 
-@query(f"""WITH {v.USER}, f AS (SELECT a.pre AS s, a.post AS m, b.post AS t FROM strong a JOIN strong b ON a.post = b.pre WHERE a.pre = '5' AND b.post <> a.pre),
-g AS (SELECT b.post AS s, a.post AS m, a.pre AS t FROM strong b JOIN strong a ON a.post = b.pre WHERE b.post = '5' AND a.pre <> b.post)
-SELECT 'out' AS direction, post AS target, {n('1')} AS length, {n()} AS n FROM strong WHERE pre = '5' GROUP BY ALL UNION ALL SELECT 'out', t, {n('2')}, {n()} FROM f GROUP BY ALL
-UNION ALL SELECT 'in', pre, {n('1')}, {n()} FROM strong WHERE post = '5' GROUP BY ALL UNION ALL SELECT 'in', t, {n('2')}, {n()} FROM g GROUP BY ALL""")
+@query(f"""WITH {v.USER}, f AS (SELECT a.pre AS s, a.post AS m, b.post AS t FROM follows a JOIN follows b ON a.post = b.pre WHERE a.pre = '5' AND b.post <> a.pre),
+g AS (SELECT b.post AS s, a.post AS m, a.pre AS t FROM follows b JOIN follows a ON a.post = b.pre WHERE b.post = '5' AND a.pre <> b.post)
+SELECT 'out' AS direction, post AS target, {n('1')} AS length, {n()} AS n FROM follows WHERE pre = '5' GROUP BY ALL UNION ALL SELECT 'out', t, {n('2')}, {n()} FROM f GROUP BY ALL
+UNION ALL SELECT 'in', pre, {n('1')}, {n()} FROM follows WHERE post = '5' GROUP BY ALL UNION ALL SELECT 'in', t, {n('2')}, {n()} FROM g GROUP BY ALL""")
 def all_paths_out(spark, sf):
-    e, five = v.strong(spark, sf), spark.createDataFrame([("5",)], "name string")
+    e, five = v.follows(spark, sf), spark.createDataFrame([("5",)], "name string")
     both = [paths.simple_paths(x, five, 2).groupBy("target", "length").agg(F.count("*").alias("n")).withColumn("direction", F.lit(d)) for d, x in (("out", e), ("in", paths.reverse_edges(e)))]
     return both[0].unionByName(both[1])
 
 
-_CHAINS = f"""{v.USER}, e AS (SELECT pre, post, weight, connection_type FROM steps WHERE connection_type = 'click' AND weight >= 2),
+_CHAINS = f"""{v.USER}, e AS (SELECT pre, post, weight, connection_type FROM steps WHERE connection_type = 'click'),
 chains AS (SELECT a.pre AS a, a.post AS b, b.post AS c, a.weight AS w1, b.weight AS w2 FROM e a JOIN e b ON a.post = b.pre WHERE a.pre <> b.post AND a.pre <> a.post AND b.pre <> b.post)"""
 
 
 def chains(spark, sf):
-    """Two-edge paths of strong clicks, as arrays of edges."""
-    e = v.users(spark, sf).connections.where("connection_type = 'click' and weight >= 2").withColumn("uid", F.lit(0))
+    """Two-edge paths of all clicks, as arrays of edges."""
+    e = v.users(spark, sf).connections.where("connection_type = 'click'").withColumn("uid", F.lit(0))
     whole = e.select(F.struct("pre", "post", "uid", "connection_type", "weight").alias("e"))
     a, b = whole.select(F.col("e").alias("x")), whole.select(F.col("e").alias("y"))
     pairs = a.join(b, F.col("x.post") == F.col("y.pre")).where("x.pre <> y.post and x.pre <> x.post and y.pre <> y.post")
@@ -82,10 +83,10 @@ def reachability(spark, sf):
     return paths.reachable(e, e.select(F.col("pre").alias("name")).distinct())
 
 
-@query(f"""WITH RECURSIVE {v.USER}, b AS (SELECT '1' AS name, 0 AS distance UNION SELECT s.post, distance + 1 FROM b JOIN strong s ON b.name = s.pre WHERE distance < 12)
+@query(f"""WITH RECURSIVE {v.USER}, b AS (SELECT '1' AS name, 0 AS distance UNION SELECT s.post, distance + 1 FROM b JOIN follows s ON b.name = s.pre WHERE distance < 12)
 SELECT '1' AS source, name, {n('min(distance)')} AS distance FROM b GROUP BY name""")
 def bfs_distance(spark, sf):
-    return paths.distances(v.strong(spark, sf), spark.createDataFrame([("1",)], "name string"))
+    return paths.distances(v.follows(spark, sf), spark.createDataFrame([("1",)], "name string"))
 
 
 @query(f"""WITH {v.USER}, s AS (SELECT count(*) AS s FROM users WHERE type = 'sensory'), t AS (SELECT count(*) AS t FROM users WHERE type = 'motorneuron')
@@ -95,41 +96,51 @@ def flow_demand(spark, sf):
     return paths.flow_demand(nodes, nodes.where("type = 'sensory'"), nodes.where("type = 'motorneuron'"))
 
 
-def _motif_sql(edges: list[tuple], k: int = 3) -> str:
-    """Self-joins, pairwise differences, and NOT EXISTS for each absent edge."""
-    names = sorted({x for e in edges for x in e}, key=str)
-    first = {x: next(f"e{i}.{'pre' if e[0] == x else 'post'}" for i, e in enumerate(edges) if x in e) for x in names}
-    on = [f"e{i}.{c} = {first[x]}" for i, e in enumerate(edges) for c, x in (("pre", e[0]), ("post", e[1])) if first[x] != f"e{i}.{c}"]
-    diff = [f"{first[a]} <> {first[b]}" for i, a in enumerate(names) for b in names[i + 1 :]]
-    absent = [f"NOT EXISTS (SELECT 1 FROM strong z WHERE z.pre = {first[a]} AND z.post = {first[b]})" for a in names for b in names if a != b and (a, b) not in edges]
-    cols = ", ".join(f'{first[x]} AS {motifs.column(x)}' for x in names)
-    return f"WITH {v.USER} SELECT {cols} FROM {', '.join(f'strong e{i}' for i in range(len(edges)))} WHERE {' AND '.join(on + diff + absent)}"
+def _motif_sql(m: motifs.Motif, view: str = v.USER, edges: str = "follows", nodes: str = "users") -> str:
+    """Self-joins, pairwise differences, and NOT EXISTS for each absent edge; a node without edges is any node."""
+    alone = [x for x in m.nodes if not any(x in e for e in m.edges)]
+    first = {x: f"u{x}.name" if x in alone else next(f"e{i}.{'pre' if e[0] == x else 'post'}" for i, e in enumerate(m.edges) if x in e) for x in m.nodes}
+    on = [f"e{i}.{c} = {first[x]}" for i, e in enumerate(m.edges) for c, x in (("pre", e[0]), ("post", e[1])) if first[x] != f"e{i}.{c}"]
+    diff = [f"{first[a]} <> {first[b]}" for i, a in enumerate(m.nodes) for b in m.nodes[i + 1 :]]
+    absent = [f"NOT EXISTS (SELECT 1 FROM {edges} z WHERE z.pre = {first[a]} AND z.post = {first[b]})" for a in m.nodes for b in m.nodes if a != b and (a, b) not in m.edges]
+    cols, tables = ", ".join(f"{first[x]} AS {motifs.column(x)}" for x in m.nodes), [*(f"{edges} e{i}" for i in range(len(m.edges))), *(f"{nodes} u{x}" for x in alone)]
+    return f"WITH {view} SELECT {cols} FROM {', '.join(tables)} WHERE {' AND '.join(on + diff + absent)}"
 
 
 def _motif(name: str):
     m = motifs.triads()[name]
 
     def f(spark, sf):
-        return motifs.search(v.strong(spark, sf), m)
+        return motifs.search(v.follows(spark, sf), m, nodes=v.users(spark, sf).neurons)
 
     f.__name__ = f"motif_{name}"
-    query(_motif_sql(list(m.edges)))(f)
+    query(_motif_sql(m))(f)
 
 
-for _name in ("030T", "030C", "021D", "021U", "021C", "111U", "120C", "201", "300"):
-    _motif(_name)
+for _name in motifs.TRIADS:
+    if _name != "003":
+        _motif(_name)
+
+
+@query(_motif_sql(motifs.triads()["003"], f"{v.SPARSE}, real AS (SELECT pre, post FROM sparse WHERE pre <> post), places AS (SELECT CAST(n_nationkey AS VARCHAR) AS name FROM nation)", "real", "places"))
+def motif_003(spark, sf):
+    """Triples of nations without a link: as there are about as many such triples as triples, not of the users."""
+    return motifs.search(sparse(spark, sf), motifs.triads()["003"], nodes=v.read(spark, sf, "nation").select(v.text("n_nationkey").alias("name")))
+
 
 _CHAIN = motifs.hypermotif(motifs.triads()["030T"], 2, [(2, 1)])
+_APART = " AND ".join(f"NOT EXISTS (SELECT 1 FROM follows z WHERE z.pre = {x} AND z.post = {y})" for a in ("a.n_1", "a.n_3") for b in ("b.n_2", "b.n_3") for x, y in ((a, b), (b, a)))
 
 
-@query(_motif_sql(list(_CHAIN.edges)))
+@query(f"""{_motif_sql(motifs.triads()["030T"]).replace("SELECT e0", ", t AS MATERIALIZED (SELECT e0", 1)})
+SELECT a.n_1 AS n_1_1, a.n_2 AS n_1_2_2_1, a.n_3 AS n_1_3, b.n_2 AS n_2_2, b.n_3 AS n_2_3 FROM t a JOIN t b ON a.n_2 = b.n_1 AND a.n_1 NOT IN (b.n_2, b.n_3) AND a.n_3 NOT IN (b.n_2, b.n_3) WHERE {_APART}""")
 def hyperchain2_030T(spark, sf):  # noqa: N802
-    return motifs.search(v.strong(spark, sf), _CHAIN)
+    return motifs.search(v.follows(spark, sf), _CHAIN)
 
 
 def _census_sql() -> str:
     rows = ", ".join(f"('{k}', '{t}')" for k, t in sorted(motifs.census_map().items()))
-    return f"""WITH {v.USER}, d AS (SELECT a.name AS a, b.name AS b, (EXISTS (SELECT 1 FROM strong s WHERE s.pre = a.name AND s.post = b.name))::INT + 2 * (EXISTS (SELECT 1 FROM strong s WHERE s.pre = b.name AND s.post = a.name))::INT AS c
+    return f"""WITH {v.USER}, d AS (SELECT a.name AS a, b.name AS b, (EXISTS (SELECT 1 FROM follows s WHERE s.pre = a.name AND s.post = b.name))::INT + 2 * (EXISTS (SELECT 1 FROM follows s WHERE s.pre = b.name AND s.post = a.name))::INT AS c
   FROM users a JOIN users b ON a.name < b.name), m(code, triad) AS (VALUES {rows}),
   t AS (SELECT m.triad, count(*) AS n FROM d x JOIN d y ON x.a = y.a AND x.b < y.b JOIN d z ON z.a = x.b AND z.b = y.b JOIN m ON m.code = x.c::VARCHAR || y.c::VARCHAR || z.c::VARCHAR GROUP BY ALL)
 SELECT DISTINCT m.triad, {n('coalesce(t.n, 0)')} AS n FROM m LEFT JOIN t ON t.triad = m.triad"""
@@ -137,16 +148,16 @@ SELECT DISTINCT m.triad, {n('coalesce(t.n, 0)')} AS n FROM m LEFT JOIN t ON t.tr
 
 @query(_census_sql())
 def triad_census(spark, sf):
-    return motifs.triad_census(v.users(spark, sf).neurons, v.strong(spark, sf))
+    return motifs.triad_census(v.users(spark, sf).neurons, v.follows(spark, sf))
 
 
-_030T = "f AS (SELECT a.pre AS n1, a.post AS n2, b.pre AS n3 FROM strong a JOIN strong b ON b.post = a.post AND b.pre <> a.pre JOIN strong c ON c.pre = a.pre AND c.post = b.pre WHERE NOT EXISTS (FROM strong z WHERE z.pre = n2 AND z.post = n1) AND NOT EXISTS (FROM strong z WHERE z.pre = n2 AND z.post = n3) AND NOT EXISTS (FROM strong z WHERE z.pre = n3 AND z.post = n1))"
+_030T = "f AS (SELECT a.pre AS n1, a.post AS n2, b.pre AS n3 FROM follows a JOIN follows b ON b.post = a.post AND b.pre <> a.pre JOIN follows c ON c.pre = a.pre AND c.post = b.pre WHERE NOT EXISTS (FROM follows z WHERE z.pre = n2 AND z.post = n1) AND NOT EXISTS (FROM follows z WHERE z.pre = n2 AND z.post = n3) AND NOT EXISTS (FROM follows z WHERE z.pre = n3 AND z.post = n1))"
 
 
 @query(f"WITH {v.USER}, {_030T}, p AS (SELECT '1' AS role, n1 AS name FROM f UNION ALL SELECT '2', n2 FROM f UNION ALL SELECT '3', n3 FROM f) SELECT role, type, {n()} AS n FROM p JOIN users USING (name) GROUP BY ALL")
 def motif_roles(spark, sf):
     m = motifs.triads()["030T"]
-    return motifs.roles(motifs.search(v.strong(spark, sf), m), m, v.users(spark, sf).neurons)
+    return motifs.roles(motifs.search(v.follows(spark, sf), m), m, v.users(spark, sf).neurons)
 
 
 @query(f"""WITH {v.USER}, {_030T}, e AS (SELECT n1 AS pre, n2 AS post FROM f UNION ALL SELECT n3, n2 FROM f UNION ALL SELECT n1, n3 FROM f),
@@ -154,11 +165,11 @@ c AS (SELECT a.type AS pre_type, b.type AS post_type, count(*) AS n FROM e JOIN
 SELECT pre_type, post_type, {n('n')} AS n, {r('n / sum(n) OVER ()')} AS share, {r('-(n / sum(n) OVER ()) * ln(n / sum(n) OVER ())')} AS entropy FROM c""")
 def motif_edge_types(spark, sf):
     m = motifs.triads()["030T"]
-    found = motifs.match_edges(motifs.search(v.strong(spark, sf), m), m)
+    found = motifs.match_edges(motifs.search(v.follows(spark, sf), m), m)
     return stats.shares(stats.with_types(found, v.users(spark, sf).neurons), "pre_type", "post_type")
 
 
-_DEGREES = f"""WITH {v.USER}, o AS (SELECT pre AS name, count(*) AS o FROM strong GROUP BY ALL), i AS (SELECT post AS name, count(*) AS i FROM strong GROUP BY ALL)
+_DEGREES = f"""WITH {v.USER}, o AS (SELECT pre AS name, count(*) AS o FROM follows GROUP BY ALL), i AS (SELECT post AS name, count(*) AS i FROM follows GROUP BY ALL)
 SELECT name, {n('coalesce(i, 0)')} AS in_degree, {n('coalesce(o, 0)')} AS out_degree FROM o FULL JOIN i USING (name)"""
 
 
@@ -169,40 +180,60 @@ def _degrees(edges):
 
 @query(_DEGREES)
 def config_model_degrees(spark, sf):
-    return _degrees(nulls.configuration_model(v.strong(spark, sf), 7))
+    return _degrees(nulls.configuration_model(v.follows(spark, sf), 7))
 
 
 @query(_DEGREES)
 def edge_swap_degrees(spark, sf):
-    return _degrees(nulls.edge_swap(v.strong(spark, sf), 7, 3))
+    return _degrees(nulls.edge_swap(v.follows(spark, sf), 7, 3))
 
 
-@query(f"WITH {v.USER}, c AS (SELECT count(*) AS n FROM strong) SELECT {n('n')} AS n_edges, {n('0')} AS n_loops, {n('n')} AS n_distinct FROM c")
+@query(f"WITH {v.USER}, c AS (SELECT count(*) AS n FROM follows) SELECT {n('n')} AS n_edges, {n('0')} AS n_loops, {n('n')} AS n_distinct FROM c")
 def gnm_count(spark, sf):
-    e = nulls.random_edges(v.users(spark, sf).neurons, v.strong(spark, sf).count(), 3)
+    e = nulls.randomize(v.follows(spark, sf), "num-nodes-edges", 3, v.users(spark, sf).neurons)
     return e.agg(F.count("*").alias("n_edges"), F.count_if(F.col("pre") == F.col("post")).alias("n_loops"), F.countDistinct("pre", "post").alias("n_distinct"))
 
 
-@query(f"WITH {v.USER} SELECT a.type AS pre_type, b.type AS post_type, {n()} AS n FROM strong JOIN users a ON pre = a.name JOIN users b ON post = b.name GROUP BY ALL")
+@query(f"WITH {v.USER} SELECT a.type AS pre_type, b.type AS post_type, {n()} AS n FROM follows JOIN users a ON pre = a.name JOIN users b ON post = b.name GROUP BY ALL")
 def stub_matching_counts(spark, sf):
-    e = nulls.stub_matching(v.strong(spark, sf), v.users(spark, sf).neurons, 5)
+    e = nulls.stub_matching(v.follows(spark, sf), v.users(spark, sf).neurons, 5)
     return e.groupBy("pre_type", "post_type").agg(F.count("*").alias("n"))
 
 
+def _against(observed, null):
+    """z, p and its correction of all triads against the censuses of null graphs (replicate, triad, n)."""
+    return nulls.adjust(nulls.z_scores(observed.select("triad", F.col("n").alias("value")), null.select("replicate", "triad", F.col("n").alias("value")), "triad"), "bh")
+
+
 @query()
 def null_motif_zscores(spark, sf):
-    """Feed-forward and cyclic triads against 10 configuration models, in one plan with the replicate as a key."""
-    e, m = v.strong(spark, sf), motifs.triads()
-    observed = motifs.triad_census(v.users(spark, sf).neurons, e).where(F.col("triad").isin("030T", "030C", "120C", "300")).select("triad", F.col("n").alias("value"))
-    null = nulls.replicates(e, "configuration-model", 10, 1).where("pre <> post").distinct()
-    tagged = null.select(F.concat_ws("#", "replicate", "pre").alias("pre"), F.concat_ws("#", "replicate", "post").alias("post"))
-    parts = None
-    for t in ("030T", "030C", "120C", "300"):
-        found = motifs.search(tagged, m[t], distinct_sets=True).groupBy(F.split("n_1", "#")[0].cast("int").alias("replicate")).agg(F.count("*").alias("value")).withColumn("triad", F.lit(t))
-        parts = found if parts is None else parts.unionByName(found)
-    every = spark.range(10).select(F.col("id").cast("int").alias("replicate")).crossJoin(observed.select("triad"))
-    full = every.join(parts, ["replicate", "triad"], "left").fillna(0, ["value"])
-    return nulls.adjust(nulls.z_scores(observed, full, "triad"), "bh")
+    """All triads against 100 configuration models: one draw and one census, with the replicate as a key. Loops and parallel edges of the models are left out."""
+    nodes, e = v.users(spark, sf).neurons, written(v.follows(spark, sf), "follows")
+    null = nulls.replicates(e, "configuration-model", 100, 1).where("pre <> post")
+    return _against(motifs.triad_census(nodes, e), motifs.triad_census(nodes, null, ("replicate",)))
+
+
+_SHIFTS = 5
+
+
+@query(f"""WITH {v.USER}, nets AS (SELECT -1 AS replicate, pre, post FROM follows UNION ALL
+  SELECT DISTINCT k AS replicate, pre, CAST((CAST(post AS BIGINT) + 1 + k) % (SELECT max(user_id) + 1 FROM events) AS VARCHAR) FROM follows, range(0, {_SHIFTS}) AS x(k)),
+ring AS (SELECT CAST(unnest(range(0, max(user_id) + 1)) AS VARCHAR) AS name FROM events),
+d AS (SELECT replicate, least(pre, post) AS a, greatest(pre, post) AS b, CAST(sum(DISTINCT CASE WHEN pre < post THEN 1 ELSE 2 END) AS INT) AS c FROM nets WHERE pre <> post GROUP BY ALL),
+s AS (SELECT replicate, a, b, c FROM (SELECT DISTINCT replicate FROM d) JOIN (SELECT x.name AS a, y.name AS b FROM ring x JOIN ring y ON x.name < y.name) ON true LEFT JOIN d USING (replicate, a, b)),
+m(code, triad) AS (VALUES {", ".join(f"('{k}', '{t}')" for k, t in sorted(motifs.census_map().items()))}),
+t AS (SELECT x.replicate, m.triad, count(*) AS n FROM s x JOIN s y ON x.replicate = y.replicate AND x.a = y.a AND x.b < y.b JOIN s z ON z.replicate = x.replicate AND z.a = x.b AND z.b = y.b
+  JOIN m ON m.code = coalesce(x.c, 0)::VARCHAR || coalesce(y.c, 0)::VARCHAR || coalesce(z.c, 0)::VARCHAR GROUP BY ALL),
+f AS (SELECT replicate, triad, coalesce(n, 0) AS n FROM (SELECT DISTINCT replicate FROM d) JOIN (SELECT DISTINCT triad FROM m) ON true LEFT JOIN t USING (replicate, triad))
+SELECT triad, {r('any_value(n) FILTER (replicate < 0)')} AS observed, {r('avg(n) FILTER (replicate >= 0)')} AS null_mean, {r('stddev_pop(n) FILTER (replicate >= 0)')} AS null_std,
+{r('coalesce((any_value(n) FILTER (replicate < 0) - avg(n) FILTER (replicate >= 0)) / nullif(stddev_pop(n) FILTER (replicate >= 0), 0), 0)')} AS z FROM f GROUP BY triad""")
+def null_census_shift(spark, sf):
+    """All triads against networks whose targets are moved on by 1 to 5 places: null graphs that SQL can make as well."""
+    size = v.read(spark, sf, "events").agg(F.max("user_id") + 1).first()[0] or 0
+    nodes, e = spark.range(size).select(v.text("id").alias("name")), written(v.follows(spark, sf), "follows")
+    moved = e.select(F.explode(F.sequence(F.lit(0), F.lit(_SHIFTS - 1))).alias("replicate"), "pre", "post")
+    null = moved.select("replicate", "pre", v.text((F.col("post").cast("bigint") + 1 + F.col("replicate")) % F.lit(max(size, 1))).alias("post")).distinct()
+    return _against(motifs.triad_census(nodes, e), motifs.triad_census(nodes, null, ("replicate",))).drop("p", "p_adjusted")
 
 
 @query(f"""WITH {v.TRADE}, {v.NODES}, c AS (SELECT nation, connection_type, count(*) AS n FROM trade JOIN nodes ON pre = name GROUP BY ALL),
@@ -244,12 +275,12 @@ def bootstrap_enrichment(spark, sf):
 
 @query()
 def betweenness(spark, sf):
-    return centrality.betweenness(v.strong(spark, sf))
+    return centrality.betweenness(v.follows(spark, sf))
 
 
 @query()
 def percolation(spark, sf):
-    return centrality.percolation(v.strong(spark, sf), lambda name: int(name) % 7 / 7)
+    return centrality.percolation(v.follows(spark, sf), lambda name: int(name) % 7 / 7)
 
 
 @query()
@@ -262,16 +293,16 @@ def girvan_newman(spark, sf):
     return centrality.girvan_newman(heavy(spark, sf).select("pre", "post"), 3)
 
 
-@query(f"""WITH {v.USER}, e AS (SELECT a.type AS a, b.type AS b FROM strong JOIN users a ON pre = a.name JOIN users b ON post = b.name)
+@query(f"""WITH {v.USER}, e AS (SELECT a.type AS a, b.type AS b FROM follows JOIN users a ON pre = a.name JOIN users b ON post = b.name)
 SELECT {n('count(*) FILTER (a = b)')} AS within, {n('count(*) FILTER (a <> b)')} AS between, {n('count(*) FILTER (a = b) - count(*) FILTER (a <> b)')} AS energy FROM e""".replace("AS between", 'AS "between"').replace("AS within,", 'AS "within",'))
 def gn_energy(spark, sf):
-    return centrality.partition_energy(v.strong(spark, sf), v.users(spark, sf).neurons.select("name", F.col("type").alias("community")))
+    return centrality.partition_energy(v.follows(spark, sf), v.users(spark, sf).neurons.select("name", F.col("type").alias("community")))
 
 
-@query(f"""WITH {v.USER}, e AS (SELECT a.type AS community, b.type AS b FROM strong JOIN users a ON pre = a.name JOIN users b ON post = b.name)
+@query(f"""WITH {v.USER}, e AS (SELECT a.type AS community, b.type AS b FROM follows JOIN users a ON pre = a.name JOIN users b ON post = b.name)
 SELECT community, {n('count(*) FILTER (community <> b)')} AS cut, {n()} AS volume FROM e GROUP BY ALL""")
 def cut_and_volume(spark, sf):
-    return centrality.cut_and_volume(v.strong(spark, sf), v.users(spark, sf).neurons.select("name", F.col("type").alias("community")))
+    return centrality.cut_and_volume(v.follows(spark, sf), v.users(spark, sf).neurons.select("name", F.col("type").alias("community")))
 
 
 @query(f"""WITH {v.SPARSE}, w AS (SELECT pre, post, weight AS w FROM sparse WHERE pre <> post),
@@ -307,8 +338,8 @@ def layout_widths(spark, sf):
     return layout.edge_widths(sparse(spark, sf), 10.0).select("pre", "post", "width")
 
 
-@query(f"""WITH {v.USER} SELECT pre, post, connection_type, a.type AS pre_type, b.type AS post_type, a.type <> b.type AS across, EXISTS (FROM strong z WHERE z.pre = steps.pre AND z.post = steps.post) AS anatomical
+@query(f"""WITH {v.USER} SELECT pre, post, connection_type, a.type AS pre_type, b.type AS post_type, a.type <> b.type AS across, EXISTS (FROM follows z WHERE z.pre = steps.pre AND z.post = steps.post) AS anatomical
 FROM steps JOIN users a ON pre = a.name JOIN users b ON post = b.name""")
 def layout_layers(spark, sf):
     net = v.users(spark, sf)
-    return layout.layered_edges(net.connections, net.neurons, v.strong(spark, sf)).drop("weight")
+    return layout.layered_edges(net.connections, net.neurons, v.follows(spark, sf)).drop("weight")

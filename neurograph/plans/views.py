@@ -18,7 +18,7 @@ SPARSE = f"""{NATION}, dense AS (SELECT pre, post, sum(weight) AS weight FROM na
 USER = """hops AS (SELECT CAST(user_id AS VARCHAR) AS pre, CAST(lead(user_id) OVER (ORDER BY ts, event_id) AS VARCHAR) AS post, event_type AS connection_type, value FROM events),
   users AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS name, CASE user_id % 3 WHEN 0 THEN 'sensory' WHEN 1 THEN 'interneuron' ELSE 'motorneuron' END AS type FROM events),
   steps AS (SELECT pre, post, connection_type, count(*) AS weight FROM hops WHERE post IS NOT NULL GROUP BY ALL),
-  strong AS (SELECT pre, post FROM hops WHERE post IS NOT NULL AND pre <> post GROUP BY ALL HAVING count(*) >= 2)"""
+  follows AS (SELECT DISTINCT pre, post FROM hops WHERE post IS NOT NULL AND pre <> post)"""
 SAMPLES = """samples AS (SELECT user_id AS neuron, CAST(0 AS BIGINT) AS trial, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS t, value,
   CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS stim FROM events)"""
 SERIES = "series AS (SELECT label AS recording, vec_id AS series, CAST(unnest(range(0, 64)) AS BIGINT) AS t, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
@@ -28,8 +28,8 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def text(c: str):
-    return F.col(c).cast("string")
+def text(c):
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
 def trade(spark: SparkSession, sf: str) -> Network:
@@ -49,7 +49,7 @@ def trade(spark: SparkSession, sf: str) -> Network:
 def user_hops(spark: SparkSession, sf: str) -> DataFrame:
     """(pre, post, connection_type, value): from each event's user to that of the next event."""
     e = read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    linked = with_next(e, "user_id", ["ts", "event_id"], F.date_trunc("day", "ts"))
+    linked = with_next(e, "user_id", ["ts", "event_id"])
     return linked.select(text("user_id").alias("pre"), text("next").alias("post"), F.col("event_type").alias("connection_type"), "value")
 
 
@@ -62,9 +62,9 @@ def users(spark: SparkSession, sf: str) -> Network:
     return Network("users", nodes, steps)
 
 
-def strong(spark: SparkSession, sf: str) -> DataFrame:
-    """(pre, post) of users who follow each other twice or more."""
-    return user_hops(spark, sf).where("post is not null and pre <> post").groupBy("pre", "post").agg(F.count("*").alias("n")).where("n >= 2").select("pre", "post")
+def follows(spark: SparkSession, sf: str) -> DataFrame:
+    """(pre, post) of all users who follow another."""
+    return user_hops(spark, sf).where("post is not null and pre <> post").select("pre", "post").distinct()
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:

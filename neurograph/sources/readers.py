@@ -64,6 +64,48 @@ def retype_sex_specific(neurons: DataFrame) -> DataFrame:
     return neurons.withColumn("type", F.when(specific & F.col("name").startswith("CEM"), "SENSORY NEURON").when(specific & F.col("name").startswith("MCM"), "INTERNEURON").otherwise(F.col("type")))
 
 
+def male_network(chemical: DataFrame, gap: DataFrame, order: str = "ord", chem_only: bool = False, gapjn_only: bool = False, name: str = "Neutral") -> Network:
+    """From two wide sheets: ``order`` (the row's number), class, category, label, and a column for each target.
+
+    Class and category stand in the first row of each block only. Nodes are the labels of the chemical sheet; edges link two of them. A sex-specific neuron's type
+    is its category, or for those of the head goes by its name; its category is then SEX SPECIFIC.
+    """
+    if chem_only and gapjn_only:
+        raise ValueError("chem_only and gapjn_only exclude each other")
+    # one sheet of a few hundred rows, in one task
+    filled = fill_down(chemical.select(order, "class", "category", F.col("label").alias("name")), ["class", "category"], order).where("name is not null")
+    own, head = F.col("class") == "SEX SPECIFIC", F.when(F.col("name").startswith("CEM"), "SENSORY NEURON").when(F.col("name").startswith("MCM"), "INTERNEURON")
+    kind = F.when(own & (F.col("category") != "HEAD"), F.col("category")).when(own, head).otherwise(F.col("class"))
+    neurons = filled.select("name", kind.alias("type"), F.when(own, "SEX SPECIFIC").otherwise(F.col("category")).alias("category"))
+    parts = []
+    for sheet, what, color, uid in ((chemical, CHEMICAL, "orange", 0), (gap, GAP, "gray", 1)):
+        if what == CHEMICAL and not gapjn_only or what == GAP and not chem_only:
+            edges = wide_adjacency(sheet.where("label is not null").drop(order, "class", "category"), "label", what)
+            known = neurons.select("name")
+            edges = edges.join(known.select(F.col("name").alias("pre")), "pre", "left_semi").join(known.select(F.col("name").alias("post")), "post", "left_semi")
+            parts.append(edges.select("pre", "post", F.lit(uid).alias("uid"), "connection_type", "weight", F.lit(color).alias("color")))
+    return Network(name, neurons, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+
+
+def read_worm(spark: SparkSession, folder: str, style: str = "cook", sex: str = "hermaphrodite", stage: str = "adult", dataset: int = 1, chem_only: bool = False, gapjn_only: bool = False, name: str = "Neutral") -> Network:
+    """A worm's network by style and sex, from tables saved in ``folder`` (spreadsheets saved as CSV, maps as JSON lines):
+
+    cook, hermaphrodite: ``cells.csv``, ``chemical.json`` and ``gap.json`` (pre, adjacency), ``positions.json`` (name, position); cook, male: ``male_chemical.csv`` and
+    ``male_gap.csv`` (ord, class, category, label, targets); witvliet: ``witvliet_<stage>_<dataset>.csv``. ValueError for others.
+    """
+    only = {"chem_only": chem_only, "gapjn_only": gapjn_only, "name": name}
+    if style == "cook" and sex == "hermaphrodite":
+        near = "pre string, adjacency map<string,double>"
+        positions = spark.read.schema("name string, position struct<AP:double,LR:double,DV:double>").json(f"{folder}/positions.json")
+        return build_network(spark.read.csv(f"{folder}/cells.csv", header=True), spark.read.schema(near).json(f"{folder}/chemical.json"), spark.read.schema(near).json(f"{folder}/gap.json"), positions, **only)
+    if style == "cook" and sex == "male":
+        sheets = [spark.read.csv(f"{folder}/male_{k}.csv", header=True) for k in ("chemical", "gap")]
+        return male_network(*[s.withColumn("ord", F.col("ord").cast("int")) for s in sheets], **only)
+    if style == "witvliet":
+        return read_edge_list(spark, f"{folder}/witvliet_{stage}_{dataset}.csv", stage, dataset, name=f"witvliet_{stage}_{dataset}")
+    raise ValueError(f"no worm of style {style!r} and sex {sex!r}")
+
+
 def fly(names: DataFrame, coordinates: DataFrame, stats: DataFrame, connections: DataFrame, name: str = "fly") -> Network:
     """From (root_id, name, group), (root_id, position like ``[1 2 3]``), (root_id, length_nm, area_nm, size_nm), (pre_root_id, post_root_id, syn_count, nt_type)."""
     xyz = F.transform(F.split(F.trim(F.regexp_extract("position", r"\[(.*)\]", 1)), r"\s+"), lambda x: x.cast("int"))

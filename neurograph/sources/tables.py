@@ -4,21 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``. Where that is unset, a local master (as in tests) gets a temporary folder, and a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="neurograph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes and reads again: cuts the lineage, and lost executors don't lose it."""
+def written(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
+    """Writes and reads again: cuts the lineage, and lost executors don't lose it. ``spent`` are earlier tables that only ``df`` needed; their files go."""
     path = f"{shared_folder(df.sparkSession)}/neurograph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    for t in spent:
+        if old := _WRITTEN.pop(t, None):
+            folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(old)
+            folder.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
