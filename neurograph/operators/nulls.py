@@ -16,7 +16,7 @@ def draw(seed: int, *keys: str | Column) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
 
 
-def _ranked(df: DataFrame, order: list[Column], name: str, by: tuple[str, ...] = ()) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Consecutive numbers within ``by`` in the order of ``order``, whose first column must be a hash: ranks within its top bits, and the sizes of the parts
     before. There are as many parts as shuffle partitions, and 64 at least, so the window over a group's parts is small."""
     parts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -34,8 +34,8 @@ def configuration_model(edges: DataFrame, seed: int, by: tuple[str, ...] = ()) -
     """
     ids = [c for c in ("pre", "post", "uid", "connection_type") if c in edges.columns and c not in by]
     own = edges.groupBy(*by, *ids).agg(F.count("*").alias("_m")).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))))
-    a = _ranked(own.select(*by, "pre", draw(seed, *by, *ids, "_c").alias("_h")), [F.col("_h"), F.col("pre")], "_k", by).select(*by, "_k", "pre")
-    b = _ranked(own.select(*by, "post", draw(seed + 7919, *by, *ids, "_c").alias("_h")), [F.col("_h"), F.col("post")], "_k", by).select(*by, "_k", "post")
+    a = ranked(own.select(*by, "pre", draw(seed, *by, *ids, "_c").alias("_h")), [F.col("_h"), F.col("pre")], "_k", by).select(*by, "_k", "pre")
+    b = ranked(own.select(*by, "post", draw(seed + 7919, *by, *ids, "_c").alias("_h")), [F.col("_h"), F.col("post")], "_k", by).select(*by, "_k", "post")
     return a.join(b, [*by, "_k"]).select(*by, "pre", "post")
 
 
@@ -47,7 +47,7 @@ def edge_swap(edges: DataFrame, seed: int, rounds: int | None = None, by: tuple[
     if isinstance(rounds, bool) or not isinstance(rounds, int):
         raise ValueError("rounds must be an integer")
     for r in range(rounds):
-        numbered = _ranked(now.withColumn("_h", draw(seed + r, *by, "pre", "post")), [F.col("_h"), F.col("pre"), F.col("post")], "_k", by).select(*by, "pre", "post", F.expr("(_k - 1) div 2").alias("p"), ((F.col("_k") - 1) % 2).alias("s"))
+        numbered = ranked(now.withColumn("_h", draw(seed + r, *by, "pre", "post")), [F.col("_h"), F.col("pre"), F.col("post")], "_k", by).select(*by, "pre", "post", F.expr("(_k - 1) div 2").alias("p"), ((F.col("_k") - 1) % 2).alias("s"))
         a, b = numbered.where("s = 0").select(*by, "p", F.col("pre").alias("a"), F.col("post").alias("b")), numbered.where("s = 1").select(*by, "p", F.col("pre").alias("c"), F.col("post").alias("d"))
         pairs = a.join(b, [*by, "p"], "left")
         made = pairs.where("c is not null").select(*by, "p", F.inline(F.array(F.struct(F.col("a").alias("pre"), F.col("d").alias("post")), F.struct(F.col("c").alias("pre"), F.col("b").alias("post")))))
@@ -68,12 +68,12 @@ def random_edges(nodes: DataFrame, m: int, seed: int, replicates: int = 1) -> Da
     n, by = nodes.count(), ("replicate",)
     if m > n * (n - 1):
         raise ValueError("more edges than pairs")
-    numbered = _ranked(nodes.select("name", draw(seed, "name").alias("_h")), [F.col("_h"), F.col("name")], "_k").select((F.col("_k") - 1).alias("k"), "name")
+    numbered = ranked(nodes.select("name", draw(seed, "name").alias("_h")), [F.col("_h"), F.col("name")], "_k").select((F.col("_k") - 1).alias("k"), "name")
     dense = m * 3 > n * (n - 1)
     tries = n * (n - 1) if dense else int(m + 6 * math.sqrt(m + 1) + m * m / max(1, n * (n - 1)) * 1.5) + 16
     each = nodes.sparkSession.range(tries * replicates).select(F.expr(f"id div {tries}").cast("int").alias("replicate"), (F.col("id") % tries).alias("i"))
     codes = each.select("replicate", (F.col("i") if dense else F.pmod(draw(seed + 1, "replicate", "i"), F.lit(n * (n - 1)))).alias("code")).distinct()
-    chosen = _ranked(codes.withColumn("_h", draw(seed + 2, "replicate", "code")), [F.col("_h"), F.col("code")], "_c", by).where(F.col("_c") <= m)
+    chosen = ranked(codes.withColumn("_h", draw(seed + 2, "replicate", "code")), [F.col("_h"), F.col("code")], "_c", by).where(F.col("_c") <= m)
     pairs = chosen.select("replicate", F.expr(f"code div {n - 1}").alias("i"), (F.col("code") % (n - 1)).alias("j0")).select("replicate", "i", (F.col("j0") + (F.col("j0") >= F.col("i")).cast("int")).alias("j"))
     a, b = numbered.select(F.col("k").alias("i"), F.col("name").alias("pre")), numbered.select(F.col("k").alias("j"), F.col("name").alias("post"))
     return pairs.join(a, "i").join(b, "j").select("replicate", "pre", "post")
@@ -102,9 +102,9 @@ def stub_matching(edges: DataFrame, types: DataFrame, seed: int) -> DataFrame:
     begin = F.col("chunk") * CHUNK
     tried = chunks.withColumn("i", F.explode(F.sequence(begin, F.least(begin + CHUNK, F.col("tries")) - 1)))
     tried = tried.select(*group, "m", "width", F.when(dense, F.col("i")).otherwise(F.pmod(draw(seed, *group, "i"), F.col("N"))).alias("code")).distinct()
-    kept = _ranked(tried.withColumn("_h", draw(seed + 1, *group, "code")), [F.col("_h"), F.col("code")], "k", tuple(group)).where("k <= m").withColumn("i", F.expr("code div width")).withColumn("j", F.col("code") % F.col("width"))
+    kept = ranked(tried.withColumn("_h", draw(seed + 1, *group, "code")), [F.col("_h"), F.col("code")], "k", tuple(group)).where("k <= m").withColumn("i", F.expr("code div width")).withColumn("j", F.col("code") % F.col("width"))
     kept = kept.withColumn("j", F.when(same & (F.col("j") >= F.col("i")), F.col("j") + 1).otherwise(F.col("j")))
-    place = _ranked(types.select("name", "type", draw(seed + 2, "name").alias("_h")), [F.col("_h"), F.col("name")], "at", ("type",)).withColumn("at", F.col("at") - 1)
+    place = ranked(types.select("name", "type", draw(seed + 2, "name").alias("_h")), [F.col("_h"), F.col("name")], "at", ("type",)).withColumn("at", F.col("at") - 1)
     x, y = place.select(F.col("type").alias("pre_type"), F.col("at").alias("i"), F.col("name").alias("pre")), place.select(F.col("type").alias("post_type"), F.col("at").alias("j"), F.col("name").alias("post"))
     return kept.select(*group, "i", "j").join(x, ["pre_type", "i"]).join(y, ["post_type", "j"]).select("pre", "post", *group)
 
@@ -188,7 +188,7 @@ def bootstrap(members: DataFrame, incoming: DataFrame, draws: int, k: int, seed:
     ``incoming`` is (post, type). Its counts are taken first, so that the draws join counts, not edges.
     """
     n = members.count()
-    named = _ranked(members.select("name", draw(seed, "name").alias("_h")), [F.col("_h"), F.col("name")], "_k").select((F.col("_k") - 1).alias("i"), "name")
+    named = ranked(members.select("name", draw(seed, "name").alias("_h")), [F.col("_h"), F.col("name")], "_k").select((F.col("_k") - 1).alias("i"), "name")
     picks = members.sparkSession.range(draws * k).select(F.expr(f"id div {k}").alias("draw"), F.pmod(draw(seed + 1, "id"), F.lit(n)).alias("i"))
     counts = incoming.groupBy(F.col("post").alias("name"), "type").agg(F.count("*").alias("n"))
     seen = picks.join(named, "i").join(counts, "name").groupBy("draw", "type").agg(F.sum("n").alias("n"))
