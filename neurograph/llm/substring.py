@@ -128,6 +128,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     kept = known.where(F.col("n_words") >= WINDOW).join(least.select(F.col("sha").alias("s"), F.col("least").alias("l")), (F.col("sha") == F.col("s")) & (F.col("doc_id") == F.col("l")), "left_semi")
     anchors = kept.select("doc_id", "mark", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("anchor").alias("shared"))
+    shared = materialize(shared, "shared")  # for the same reason as "twice" below: so that the join can split an anchor of many documents
     wanted = anchors.join(shared, F.col("anchor") == F.col("shared"), "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("anchors"))
     wanted = materialize(wanted.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "anchors"), "wanted")
 
@@ -153,7 +154,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     twice = materialize(twice, "twice")  # else the join would take the aggregate's partitions, in which a passage of many documents can't be split
     hit = windows.join(twice, (F.col("anchor") == F.col("a")) & (F.col("hash") == F.col("h")) & (F.col("doc_id") > F.col("lo")))
     starts = materialize(hit.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts")), "starts")
-    forget(wanted, windows, twice)
+    forget(shared, wanted, windows, twice)
     return rows, starts
 
 
