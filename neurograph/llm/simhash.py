@@ -337,7 +337,7 @@ def _link(rows: DataFrame, store: Callable[[], object], label: str, batch: int)
 def connect(keyed: DataFrame, data: DataFrame, store: Callable[[], object], label: str, block: int = 256, batch: int = 4096) -> DataFrame:
     """(node, component) of the rows of ``keyed`` (key, id) that near pairs of a key join; ``data`` is (id, data).
 
-    Keys of over ``block`` rows are dealt to as many blocks as that takes. Blocks are linked in themselves, and their heads with one another. Where
+    Keys of over ``block`` rows are dealt to as many blocks as that takes. Blocks are linked in themselves, and their heads with one another, in blocks again. Where
     that leaves a key in several classes, all pairs of its blocks are compared: each block of the largest class with each of the rest,
     and the rest among themselves; so no pair of different classes is left out, and no task holds over about two blocks of a key.
     """
@@ -347,8 +347,15 @@ def connect(keyed: DataFrame, data: DataFrame, store: Callable[[], object], labe
     found = [_link(rows.join(data, "id").withColumns({"unit": deal(F.col("blocks")), "label": F.col("id")}), store, label, batch)]
     hot = rows.where("blocks > 1").select("key", "id")
     if not hot.isEmpty():
-        heads = found[0].where("b is null").select("key", F.col("a").alias("id")).join(hot.select("key").distinct(), "key", "left_semi")
-        found.append(_link(heads.join(data, "id").withColumns({"unit": F.lit(0).cast("bigint"), "label": F.col("id")}), store, label, batch))
+        while True:
+            heads = found[-1].where("b is null").select("key", F.col("a").alias("id"))
+            many = heads.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / block).alias("blocks"))
+            heads = materialize(heads.join(many, "key"), label)
+            if heads.isEmpty():
+                break
+            found.append(_link(heads.join(data, "id").withColumns({"unit": deal(F.col("blocks")), "label": F.col("id")}), store, label, batch))
+            forget(heads)
+        forget(heads)
         found += _rest(hot, _joined(found, label), data, store, label, block, batch)
     out = _joined(found, label)
     forget(rows, *found)
