@@ -80,6 +80,15 @@ def test_bit_counts():
         assert (simhash.bit_counts(h) == want).all()
 
 
+def test_components_of_hubs(spark):
+    """A star of most links, whose centre is neither the least nor the greatest of its nodes, next to pairs and a chain that it reaches."""
+    star = [(5000, k) for k in range(1000, 9000) if k != 5000]
+    rest = [(2 * k, 2 * k + 1) for k in range(10_000, 11_000)] + [(k, k + 1) for k in range(100, 140)] + [(140, 8999)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(star + rest, "a bigint, b bigint")).collect()}
+    want = dict.fromkeys([*range(100, 141), *range(1000, 9000)], 100) | {x: 2 * k for k in range(10_000, 11_000) for x in (2 * k, 2 * k + 1)}
+    assert got == want
+
+
 def test_components_of_chains(spark):
     chain = [(k, k + 1) for k in range(0, 300)] + [(1000, 999), (999, 1002), (5, 5), (None, 4)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
@@ -147,7 +156,7 @@ def shingle_components(rows, similarity=0.8, size=5):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("block", [256, 16])
+@pytest.mark.parametrize("block", [256, 16, 3])
 def test_variants_of_one_text_against_brute_force(spark, block):
     """Texts that meet only through one that isn't the first of its buckets, in one block and in many."""
     rows = family()
