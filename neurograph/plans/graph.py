@@ -151,9 +151,9 @@ def _grouped(net: Network):
     return net.connections.groupBy("pre", "post", "connection_type").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
-@query(_induced("nation = '3' AND region = '1'"))
+@query(_induced("nation = '3' AND region = '3'"))
 def where_and(spark, sf):
-    return _grouped(select.where(v.trade(spark, sf), {"nation": "3", "region": "1"}))
+    return _grouped(select.where(v.trade(spark, sf), {"nation": "3", "region": "3"}))
 
 
 @query(_induced("nation = '3' OR category = 'supplier'"))
