@@ -41,4 +41,4 @@ def n(x: str = "count(*)") -> str:
     return f"CAST({x} AS BIGINT)"
 
 
-from neurograph.plans import graph, invariants, series, structure  # noqa: E402, F401
+from neurograph.plans import graph, invariants, parts, series, structure  # noqa: E402, F401
