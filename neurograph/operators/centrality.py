@@ -1,4 +1,4 @@
-"""Centralities and partitions. Per-source searches run in parallel, each task holding the adjacency of one (bounded) network."""
+"""Centralities and partitions. Per-source searches run in parallel, each task holding the adjacency of one network."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from neurograph.operators.nulls import ranked
+from neurograph.sources.tables import written
+
 #: Edges that a broadcast adjacency may have.
 MOST_EDGES = 5_000_000
 
@@ -70,20 +73,149 @@ def _named(spark, names: list, value) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"_i": range(len(names)), value: names}))
 
 
-def betweenness(edges: DataFrame, directed: bool = True, normalized: bool = True) -> DataFrame:
-    """(name, betweenness): shares of shortest paths, ends excluded."""
+#: Cells (sources times nodes) of a task's searches, and links of a level that it follows at once.
+CELLS, STEP = 1 << 21, 1 << 20
+
+
+def _numbered(edges: DataFrame, directed: bool) -> tuple[DataFrame, DataFrame, int]:
+    """(name, id) and (a, b) of the distinct links without loops, both written, and the number of nodes. Numbers follow hashes, from 0."""
+    pairs = edges.select("pre", "post").where("pre is not null and post is not null")
+    pairs = written(pairs if directed else pairs.unionByName(pairs.select(F.col("post").alias("pre"), F.col("pre").alias("post"))), "pairs")
+    names = pairs.select(F.explode(F.array("pre", "post")).alias("name")).distinct().withColumn("_h", F.xxhash64("name"))
+    ids = written(ranked(names, [F.col("_h"), F.col("name")], "_k").select("name", (F.col("_k") - 1).cast("int").alias("id")), "ids")
+    x, y = (ids.select(F.col("name").alias(c), F.col("id").alias(i)) for c, i in (("pre", "a"), ("post", "b")))
+    links = written(pairs.where("pre <> post").join(x, "pre").join(y, "post").select("a", "b").distinct(), "links", pairs)
+    return ids, links, ids.count()
+
+
+def _adjacent(links: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each node's neighbours begin, and these: 4 bytes a link, filled from one key of 8 bytes a link."""
+    table = links.select((F.col("a").cast("bigint") * n + F.col("b")).alias("k")).toArrow()
+    key = np.empty(table.num_rows, np.int64)
+    lo = 0
+    for part in table["k"].chunks:
+        key[lo : lo + len(part)] = part.to_numpy()
+        lo += len(part)
+    del table
+    key.sort()
+    begin = np.searchsorted(key, np.arange(n + 1, dtype=np.int64) * n)
+    key %= max(n, 1)
+    return begin, key.astype(np.int32)
+
+
+def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``lo`` on, ``size`` of them, one after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(lo - before, size) + np.arange(int(size.sum()))
+
+
+def _pieces(size: np.ndarray) -> Iterator[slice]:
+    """Slices of rows whose sizes sum to about STEP."""
+    ends, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, side="right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+class _Search:
+    """Brandes' search from several sources at once, level by level. A cell is (place of the source, node); only cells that were reached are touched, and
+    they alone are cleared, so that a source costs what it reaches. Links are followed again on the way back, not kept."""
+
+    def __init__(self, begin: np.ndarray, near: np.ndarray):
+        self.begin, self.near, self.n = begin, near, len(begin) - 1
+        self.width = max(1, CELLS // max(1, self.n))
+        cells = self.width * self.n
+        self.dist, self.last, self.sigma, self.delta = np.full(cells, -1, np.int32), np.zeros(cells, np.int32), np.zeros(cells), np.zeros(cells)
+
+    def _followed(self, cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places in ``cells``, cells, cells that links lead to) of all links, in pieces."""
+        node = cells % self.n
+        size = self.begin[node + 1] - self.begin[node]
+        for part in _pieces(size):
+            at = np.repeat(np.arange(part.start, min(part.stop, len(cells))), size[part])
+            come = cells[at]
+            yield at, come, come - node[at] + self.near[_ranges(self.begin[node[part]], size[part])]
+
+    def run(self, sources: np.ndarray, x: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes and their dependencies of these sources: each node comes once for each source, itself left out."""
+        start = np.arange(len(sources), dtype=np.int64) * self.n + sources
+        self.dist[start], self.sigma[start] = 0, 1
+        levels, depth = [start], 0
+        while len(levels[-1]):
+            depth += 1
+            new = []
+            for _, come, go in self._followed(levels[-1]):
+                fresh = go[self.dist[go] < 0]
+                self.dist[fresh] = depth
+                places = np.arange(len(fresh), dtype=np.int32)
+                self.last[fresh] = places  # of a cell that comes several times one place stays
+                new.append(fresh[self.last[fresh] == places])
+                on = self.dist[go] == depth
+                np.add.at(self.sigma, go[on], self.sigma[come[on]])
+            levels.append(np.concatenate(new) if new else start[:0])
+        for level in reversed(levels):
+            for at, come, go in self._followed(level):
+                on = self.dist[go] == self.dist[come] + 1
+                come, go = come[on], go[on]
+                own = 1.0 if x is None else np.maximum(0.0, x[sources[go // self.n]] - x[go % self.n])
+                got = self.sigma[come] / self.sigma[go] * (own + self.delta[go])
+                self.delta[level] += np.bincount(at[on], weights=got, minlength=len(level))
+        seen = np.concatenate(levels[1:]) if len(levels) > 1 else start[:0]
+        nodes, found = seen % self.n, self.delta[seen].copy()
+        every = np.concatenate(levels)
+        self.dist[every], self.sigma[every], self.delta[every] = -1, 0, 0
+        return nodes, found
+
+
+def _dependencies(edges: DataFrame, directed: bool, state: Callable[[str], float] | None = None) -> tuple[DataFrame, int, DataFrame]:
+    """(name, id), the number of nodes, and (id, v) of the nodes that lie between others: sums of Brandes' dependencies over all sources, of which those without
+    an own link need no search. With ``state`` a pair counts by how much its source is above its target, and a node's sum is divided by that of the pairs it isn't in.
+
+    The driver and each task hold 4 bytes a link and some dozen bytes a node; there is no bound on links.
+    """
+    spark = edges.sparkSession
+    ids, links, n = _numbered(edges, directed)
+    begin, near = _adjacent(links, n)
+    x = rest = None
+    if state is not None:
+
+        def stated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"id": b["id"], "x": [state(name) for name in b["name"]]})
+
+        known = ids.mapInPandas(stated, "id int, x double").toArrow()
+        x = np.empty(n)
+        x[known["id"].to_numpy()] = known["x"].to_numpy()
+        order = np.sort(x)
+        # sum over pairs of max(0, x_s - x_t), and that without the pairs that the node is in
+        total, before = float((order * (2 * np.arange(n) - n + 1)).sum()), np.concatenate([[0.0], np.cumsum(order)])
+        below = np.searchsorted(order, x)
+        rest = total - (x * (2 * below - n) + before[-1] - 2 * before[below])
+    shared = spark.sparkContext.broadcast((begin, near, x, rest))
+    parts = min(max(1, n), spark.sparkContext.defaultParallelism * 4)
 
-    def value(near, sources):
-        total = np.zeros(len(near))
-        for s in sources:
-            total += _accumulate(near, s)[0]
-        return pd.DataFrame({"a": np.arange(len(near)), "b": -1, "v": total})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin, near, x, rest = shared.value
+        search, total = _Search(begin, near), np.zeros(n)
+        for b in batches:
+            sources = b["id"].to_numpy()
+            sources = sources[begin[sources + 1] > begin[sources]]
+            for lo in range(0, len(sources), search.width):
+                nodes, found = search.run(sources[lo : lo + search.width], x)
+                total += np.bincount(nodes, weights=found, minlength=n)
+        some = np.flatnonzero(total if rest is None else (total != 0) & (rest > 0))
+        yield pd.DataFrame({"id": some.astype(np.int32), "v": total[some] if rest is None else total[some] / rest[some]})
 
-    names, parts = _over_sources(edges, directed, value)
-    n = len(names)
+    found = spark.range(n, numPartitions=parts).mapInPandas(run, "id int, v double")
+    return ids, n, found.groupBy("id").agg(F.sum("v").alias("v"))
+
+
+def betweenness(edges: DataFrame, directed: bool = True, normalized: bool = True) -> DataFrame:
+    """(name, betweenness): shares of shortest paths, ends excluded."""
+    ids, n, summed = _dependencies(edges, directed)
     scale = 1 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0 if directed else 0.5
-    summed = parts.groupBy("a").agg(F.sum("v").alias("v"))
-    return summed.join(_named(edges.sparkSession, names, "name"), F.col("a") == F.col("_i")).select("name", (F.col("v") * scale).alias("betweenness"))
+    return ids.join(summed, "id", "left").select("name", (F.coalesce("v", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def edge_betweenness(edges: DataFrame, directed: bool = False) -> DataFrame:
@@ -107,38 +239,8 @@ def edge_betweenness(edges: DataFrame, directed: bool = False) -> DataFrame:
 def percolation(edges: DataFrame, states: dict | Callable[[str], float] | None = None) -> DataFrame:
     """(name, percolation): betweenness weighted by how much more percolated the source is than the target; all states 1 by default (then all are 0).
     ``states`` gives a name's state, as a function or a dict."""
-    names, near = adjacency(edges)
-    x = np.array([states(n) if callable(states) else (states or {}).get(n, 1.0) for n in names], float)
-    n, order = len(names), np.sort(x)
-    # sum over pairs of max(0, x_s - x_t)
-    total = float((order * (2 * np.arange(n) - n + 1)).sum())
-    rest = [total - float(np.abs(x - v).sum()) for v in x]  # without the pairs that the node is in
-
-    def value(near, sources):
-        out = np.zeros(len(near))
-        for s in sources:
-            dist, sigma, seen, preds, queue = {s: 0}, {s: 1.0}, [], {}, deque([s])
-            while queue:
-                v = queue.popleft()
-                seen.append(v)
-                for w in near[v]:
-                    if w not in dist:
-                        dist[w] = dist[v] + 1
-                        queue.append(w)
-                    if dist[w] == dist[v] + 1:
-                        sigma[w] = sigma.get(w, 0) + sigma[v]
-                        preds.setdefault(w, []).append(v)
-            delta: dict = {}
-            for w in reversed(seen):
-                for v in preds.get(w, ()):
-                    delta[v] = delta.get(v, 0) + sigma[v] / sigma[w] * (max(0.0, x[s] - x[w]) + delta.get(w, 0))
-                if w != s and rest[w] > 0:
-                    out[w] += delta.get(w, 0) / rest[w]
-        return pd.DataFrame({"a": np.arange(len(near)), "b": -1, "v": out})
-
-    names, parts = _over_sources(edges, True, value)
-    scale = 1 / max(1, n - 2)
-    return parts.groupBy("a").agg(F.sum("v").alias("v")).join(_named(edges.sparkSession, names, "name"), F.col("a") == F.col("_i")).select("name", (F.col("v") * scale).alias("percolation"))
+    ids, n, summed = _dependencies(edges, True, lambda name: float(states(name) if callable(states) else (states or {}).get(name, 1.0)))
+    return ids.join(summed, "id", "left").select("name", (F.coalesce("v", F.lit(0.0)) / max(1, n - 2)).alias("percolation"))
 
 
 def edge_connectivity(edges: DataFrame) -> int:
