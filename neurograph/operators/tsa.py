@@ -3,10 +3,11 @@ recording are compared."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def pearson(x: str, y: str) -> Column:
 def correlations(series: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
     """(a, b, r) over start <= t < end, of every two series of a recording over the times that both have; null if one of the two doesn't vary there.
 
-    A series is one array row; pairs of series with the same times are products of two arrays, and only others are joined sample by sample.
+    A series is one array row; pairs of series with the same times are products of matrices of ``BLOCK`` series, and only others are joined sample by sample.
     """
     some = series.where(F.col("t") >= start) if end is None else series.where((F.col("t") >= start) & (F.col("t") < end))
     on = ["recording"] if "recording" in series.columns else []
@@ -31,41 +32,101 @@ def correlations(series: DataFrame, start: int = 0, end: int | None = None) -> D
     rows = rows.select(*on, "series", values.alias("v"), times.alias("times"))
     rows = rows.withColumn("m", total(F.col("v")) / F.size("v"))
     # centred values, and their energy, once a series
-    rows = rows.select(*on, "series", "times", F.transform("v", lambda x: x - F.col("m")).alias("v")).withColumn("e", total(F.transform("v", lambda x: x * x))).withColumn("k", F.xxhash64("times"))
-    a, b = (rows.select(*on, F.col("series").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("times", "v", "e", "k")]) for n in "ab")
-    met = (a.join(b, on) if on else a.crossJoin(b)).where("a < b")
-    same = (F.col("a_k") == F.col("b_k")) & (F.col("a_times") == F.col("b_times"))
-    dot = total(F.zip_with("a_v", "b_v", lambda x, y: x * y))
-    r = F.try_divide(dot, F.nullif(F.sqrt(F.col("a_e") * F.col("b_e")), F.lit(0.0)))
-    whole = met.where(same).select("a", "b", r.alias("r"))
+    rows = rows.select(*on, "series", "times", F.transform("v", lambda x: x - F.col("m")).alias("v")).withColumn("e", total(F.transform("v", lambda x: x * x)))
+    whole = _products(rows, on)
+    # series of different times: only pairs of two kinds of times that a recording has
+    kinds = rows.select(*on, "times").distinct()
+    two = kinds.withColumnRenamed("times", "a_times").join(kinds.withColumnRenamed("times", "b_times"), on) if on else kinds.select(F.col("times").alias("a_times")).crossJoin(kinds.select(F.col("times").alias("b_times")))
+    a, b = (rows.select(*on, F.col("series").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("times", "v")]) for n in "ab")
+    met = two.where("a_times <> b_times").join(a, [*on, "a_times"]).join(b, [*on, "b_times"]).where("a < b")
     x, y = (F.map_from_arrays(f"{n}_times", f"{n}_v") for n in "ab")
-    rest = met.where(~same).select("a", "b", y.alias("y"), F.explode(x).alias("t", "x")).select("a", "b", "x", F.try_element_at("y", "t").alias("y")).where("y is not null")
+    rest = met.select("a", "b", y.alias("y"), F.explode(x).alias("t", "x")).select("a", "b", "x", F.try_element_at("y", "t").alias("y")).where("y is not null")
     return whole.unionByName(rest.groupBy("a", "b").agg(pearson("x", "y").alias("r")))
 
 
+#: Series of a block: two blocks are multiplied at once.
+BLOCK = 1024
+
+
+def _products(rows: DataFrame, on: list[str]) -> DataFrame:
+    """(a, b, r) of rows (recording, series, times, v, e) with the same times: series are dealt into blocks, and each two blocks make one product of matrices."""
+    deal = [*on, "times"]
+    rows = rows.where("series is not null")
+    many = rows.groupBy(*deal).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_of"))
+    block = F.pmod(F.xxhash64("series"), F.col("_of")).cast("int")
+    rows = rows.join(many, deal).withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    rows = rows.select(*deal, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "series", "v", "e")
+    kind = rows.schema["series"].dataType.simpleString()
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("series")
+        of, ids, e = table["_b"].to_numpy(), table["series"].combine_chunks(), table["e"].to_numpy()
+        # of centred values some are null only where all are, and so is the energy
+        v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(e), -1)
+        known = table["e"].is_valid().to_numpy()
+        left = np.flatnonzero(of == of.min())
+        right = np.flatnonzero(of == of.max())
+        with np.errstate(all="ignore"):
+            scale = np.sqrt(e[left][:, None] * e[right][None, :])
+            r = v[left] @ v[right].T / scale
+        null = (scale == 0) | ~(known[left][:, None] & known[right][None, :])
+        x, y = np.broadcast_to(left[:, None], r.shape), np.broadcast_to(right[None, :], r.shape)
+        if of.min() == of.max():
+            own = x < y
+            x, y, r, null = x[own], y[own], r[own], null[own]
+        x, y, r, null = x.ravel(), y.ravel(), r.ravel(), null.ravel()
+        return pa.table({"a": ids.take(pa.array(np.minimum(x, y))), "b": ids.take(pa.array(np.maximum(x, y))), "r": pa.array(r, mask=null)})
+
+    # groups of two blocks of which one alone has rows there would make its own pairs again
+    def pairs(table: pa.Table) -> pa.Table:
+        i, j, b = table["_i"][0].as_py(), table["_j"][0].as_py(), table["_b"].to_numpy()
+        if i != j and (b == b[0]).all():
+            return pa.table({"a": table["series"].slice(0, 0), "b": table["series"].slice(0, 0), "r": pa.array([], pa.float64())})
+        return product(table)
+
+    return rows.groupBy(*deal, "_i", "_j").applyInArrow(pairs, f"a {kind}, b {kind}, r double")
+
+
 def window_correlations(series: DataFrame, starts: DataFrame) -> DataFrame:
     """(size, mean_r): the mean over windows (size, start) and pairs of the correlation inside the window, of series with a sample at each t from 0.
 
-    Pairs of a recording are one row each, with the running sums of their samples: a window's sums are two look-ups, so windows cost no samples again.
+    Inside a window a correlation is the product of two series of mean 0 and length 1, and the products of all pairs sum to half of (the square of the series'
+    sum, less the sum of their squares). So each series is read once, and pairs are never rows. Pairs are of a recording and of the same length.
     """
     on = ["recording"] if "recording" in series.columns else []
-    one = _arrays(series)
-    a, b = one.select(*on, F.col("series").alias("a"), F.col("v").alias("x")), one.select(*on, F.col("series").alias("b"), F.col("v").alias("y"))
-    pairs = (a.join(b, on) if on else a.crossJoin(b)).where("a < b and size(x) = size(y)")
-    zero = F.array(F.lit(0.0))
-    sums = {
-        "sx": F.col("x"), "sy": F.col("y"), "sxx": F.transform("x", lambda v: v * v), "syy": F.transform("y", lambda v: v * v), "sxy": F.zip_with("x", "y", lambda v, w: v * w),
-    }
-    running = lambda c: F.aggregate(c, zero, lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
-    known = pairs.select("a", "b", *[running(c).alias(k) for k, c in sums.items()])
-    # windows are few (sizes times draws): one list in every row of pairs
-    windows = F.broadcast(starts.agg(F.collect_set(F.struct("size", "start")).alias("w")))
-    each = known.crossJoin(windows).select("*", F.explode("w").alias("win")).where(F.col("win.start") + F.col("win.size") < F.size("sx"))
-    d = {k: F.get(k, F.col("win.start") + F.col("win.size")) - F.get(k, F.col("win.start")) for k in sums}
-    n = F.col("win.size")
-    xx, yy, xy = d["sxx"] - d["sx"] * d["sx"] / n, d["syy"] - d["sy"] * d["sy"] / n, d["sxy"] - d["sx"] * d["sy"] / n
-    r = F.when((xx > 1e-12) & (yy > 1e-12), xy / F.sqrt(xx * yy))
-    return each.select(n.alias("size"), r.alias("r")).groupBy("size").agg(F.avg("r").alias("mean_r"))
+    rows = _arrays(series).where(" and ".join(f"{c} is not null" for c in [*on, "series"]))
+    rows = rows.select(*on, "v", F.size("v").alias("len"), F.array_position(F.transform("v", lambda x: x.isNull()), True).alias("gap"))
+    kinds = rows.select(*on, "len").distinct()
+    keyed = kinds.crossJoin(F.broadcast(starts.select("size", "start").distinct())).where("start + size <= len")
+    # windows are few (sizes times draws): one list of those that fit for each kind of series
+    lists = keyed.groupBy(*on, "len").agg(F.array_sort(F.collect_list(F.struct("size", "start"))).alias("w"))
+    size = keyed.schema["size"].dataType.simpleString()
+    width = f"{rows.schema['recording'].dataType.simpleString()}" if on else None
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, g in b.groupby([*on, "len"], sort=False):
+                wins, gap = g["w"].iloc[0], g["gap"].to_numpy()
+                v = np.stack([np.asarray(x, float) for x in g["v"]])
+                zero = np.zeros((len(v), 1))
+                s, q = np.hstack([zero, np.cumsum(v, axis=1)]), np.hstack([zero, np.cumsum(v * v, axis=1)])
+                for w in wins:
+                    n, lo = w["size"], w["start"]
+                    hi = lo + n
+                    sx = s[:, hi] - s[:, lo]
+                    xx = q[:, hi] - q[:, lo] - sx * sx / n
+                    # a running sum has no value from a missing sample on
+                    ok = ~(xx <= 1e-12) & ((gap == 0) | (gap > hi))
+                    z = (v[ok, lo:hi] - (sx[ok] / n)[:, None]) / np.sqrt(xx[ok])[:, None]
+                    out.append((*key[:-1], key[-1], n, lo, len(v), int(ok.sum()), z.sum(axis=0).tolist(), float((z * z).sum())))
+            yield pd.DataFrame(out, columns=[*on, "len", "size", "start", "m", "k", "z", "e"])
+
+    parts = rows.join(lists, [*on, "len"]).mapInPandas(summed, ", ".join([*([f"recording {width}"] if on else []), f"len int, size {size}, start int, m bigint, k bigint, z array<double>, e double"]))
+    group = [*on, "len", "size", "start"]
+    each = parts.select(*group, "m", "k", "e", F.posexplode("z").alias("p", "s")).groupBy(*group, "p").agg(F.sum("m").alias("m"), F.sum("k").alias("k"), F.sum("e").alias("e"), F.sum("s").alias("s"))
+    whole = each.groupBy(*group).agg(F.first("m").alias("m"), F.first("k").alias("k"), ((F.sum(F.col("s") * F.col("s")) - F.first("e")) / 2).alias("r")).where("m > 1")
+    return whole.groupBy("size").agg(F.try_divide(F.sum(F.when(F.col("k") > 1, F.col("r"))), F.sum(F.col("k") * (F.col("k") - 1) / 2)).alias("mean_r"))
 
 
 def _arrays(series: DataFrame) -> DataFrame:
@@ -81,11 +142,16 @@ def starts(length: int, sizes: Iterable[int], draws: int, seed: int) -> list[tup
     return sorted({(size, int(x)) for size in sizes for x in rng.integers(0, length - size + 1, draws)})
 
 
-def connected_share(pairs: DataFrame, edges: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(threshold, n_pairs, n_connected, fraction): of pairs with abs(r) above a threshold, those with an edge either way."""
-    e = edges.select(F.least("pre", "post").alias("a"), F.greatest("pre", "post").alias("b")).distinct().withColumn("e", F.lit(1))
+def connected_share(pairs: DataFrame, edges: DataFrame | Column, thresholds: list[float]) -> DataFrame:
+    """(threshold, n_pairs, n_connected, fraction): of pairs with abs(r) above a threshold, those with an edge either way. ``edges`` is a table (pre, post), or a
+    condition on a and b where a rule tells which pairs have one: then pairs are joined with nothing."""
     lim = F.explode(F.lit([float(x) for x in thresholds])).alias("threshold")
-    hit = pairs.join(e, ["a", "b"], "left").select("*", lim).where(F.abs("r") > F.col("threshold"))
+    if isinstance(edges, Column):
+        known = pairs.withColumn("e", F.when(edges, 1))
+    else:
+        e = edges.select(F.least("pre", "post").alias("a"), F.greatest("pre", "post").alias("b")).distinct().withColumn("e", F.lit(1))
+        known = pairs.join(e, ["a", "b"], "left")
+    hit = known.select("*", lim).where(F.abs("r") > F.col("threshold"))
     return hit.groupBy("threshold").agg(F.count("*").alias("n_pairs"), F.count("e").alias("n_connected")).withColumn("fraction", F.col("n_connected") / F.col("n_pairs"))
 
 
