@@ -57,7 +57,11 @@ def having_all(rows: DataFrame, item: str, value: str, wanted: list) -> DataFram
 
 def shares(rows: DataFrame, *keys: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts of ``keys``, their share, within ``by`` if given, and its term -p ln p of the entropy. The totals are aggregated again, not windowed."""
-    counted = rows.groupBy(*by, *keys).agg(F.count("*").alias("n"))
+    return shares_of(rows.groupBy(*by, *keys).agg(F.count("*").alias("n")), by)
+
+
+def shares_of(counted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same of counts ``n`` that are there already."""
     total = counted.groupBy(*by).agg(F.sum("n").alias("_total")) if by else counted.agg(F.sum("n").alias("_total"))
     joined = counted.join(total, list(by)) if by else counted.crossJoin(total)
     p: Column = F.col("n") / F.col("_total")
