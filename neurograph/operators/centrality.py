@@ -73,8 +73,8 @@ def _named(spark, names: list, value) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"_i": range(len(names)), value: names}))
 
 
-#: Cells (sources times nodes) of a task's searches, and links of a level that it follows at once.
-CELLS, STEP = 1 << 21, 1 << 20
+#: Cells (sources times nodes) of a task's searches, links of a level that it follows at once, links it aims at for a level, and links that it keeps for the way back.
+CELLS, STEP, EVEN, KEPT = 1 << 21, 1 << 20, 1 << 13, 1 << 22
 
 
 def _numbered(edges: DataFrame, directed: bool) -> tuple[DataFrame, DataFrame, int]:
@@ -105,8 +105,9 @@ def _adjacent(links: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers from each ``lo`` on, ``size`` of them, one after the other."""
-    before = np.cumsum(size) - size
-    return np.repeat(lo - before, size) + np.arange(int(size.sum()))
+    out = np.repeat(lo - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 def _pieces(size: np.ndarray) -> Iterator[slice]:
@@ -118,61 +119,162 @@ def _pieces(size: np.ndarray) -> Iterator[slice]:
         lo = hi
 
 
+def _reversed(begin: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the links the other way."""
+    n = len(begin) - 1
+    key = near * np.int64(max(n, 1))
+    key += np.repeat(np.arange(n, dtype=np.int32), np.diff(begin))
+    key.sort()
+    back = np.searchsorted(key, np.arange(n + 1, dtype=np.int64) * n)
+    key %= max(n, 1)
+    return back, key.astype(np.int32)
+
+
 class _Search:
-    """Brandes' search from several sources at once, level by level. A cell is (place of the source, node); only cells that were reached are touched, and
-    they alone are cleared, so that a source costs what it reaches. Links are followed again on the way back, not kept."""
-
-    def __init__(self, begin: np.ndarray, near: np.ndarray):
-        self.begin, self.near, self.n = begin, near, len(begin) - 1
-        self.width = max(1, CELLS // max(1, self.n))
-        cells = self.width * self.n
-        self.dist, self.last, self.sigma, self.delta = np.full(cells, -1, np.int32), np.zeros(cells, np.int32), np.zeros(cells), np.zeros(cells)
-
-    def _followed(self, cells: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(places in ``cells``, cells, cells that links lead to) of all links, in pieces."""
-        node = cells % self.n
-        size = self.begin[node + 1] - self.begin[node]
-        for part in _pieces(size):
-            at = np.repeat(np.arange(part.start, min(part.stop, len(cells))), size[part])
-            come = cells[at]
-            yield at, come, come - node[at] + self.near[_ranges(self.begin[node[part]], size[part])]
+    """Brandes' search from several sources at once, level by level. A cell is (place of the source, node). A level is found from the links that leave the one
+    before, or, where fewer links come to the cells not reached yet, from those: most links of a dense network lead back to what is known, and are never
+    followed. The way back takes the same links, as only they join two levels. ``width`` sources are taken at once: as many as make a level's arrays long enough to
+    be worth their calls, and no more, so that the cells stay in the processor's cache."""
+
+    def __init__(self, begin: np.ndarray, near: np.ndarray, back: tuple[np.ndarray, np.ndarray] | None = None):
+        self.n = len(begin) - 1
+        self.out, self.into = (begin, near, np.diff(begin)), ()
+        begin, near = back or _reversed(begin, near)
+        self.into = (begin, near, np.diff(begin))
+        self.most = max(1, CELLS // max(1, self.n))
+        self.width, cells = 1, self.most * self.n
+        self.dist, self.last = np.full(cells, -1, np.int32), np.zeros(cells, np.int32)
+        self.sigma, self.delta, self.some = np.zeros(cells), np.zeros(cells), np.zeros(cells)
+
+    def _links(self, cells: np.ndarray, of: tuple, many: int) -> tuple[np.ndarray, Callable[[], Iterator[tuple]]]:
+        """The cells that have links, and pieces (slice of these, their numbers of links, the cells at the other ends); kept for the way back while there are few."""
+        begin, near, degree = of
+        node = cells % self.n if many > 1 else cells
+        size = degree[node]
+        has = np.flatnonzero(size)
+        if len(has) < len(size):
+            cells, node, size = cells[has], node[has], size[has]
+
+        def followed() -> Iterator[tuple]:
+            for part in _pieces(size):
+                ends = near[_ranges(begin[node[part]], size[part])]
+                yield part, size[part], ends + np.repeat(cells[part] - node[part], size[part]) if many > 1 else ends.astype(np.int64)
+
+        total = int(size.sum())
+        self.followed += total
+        if total > self.room:
+            return cells, followed
+        self.room -= total
+        kept = list(followed())
+        return cells, lambda: iter(kept)
+
+    def _outward(self, level: np.ndarray, depth: int, many: int, total: int) -> tuple[np.ndarray, np.ndarray, Callable]:
+        """The next level, from the links that leave this one."""
+        n = many * self.n
+        dist, sigma = self.dist[:n], self.sigma
+        cells, followed = self._links(level, self.out, many)
+        if 4 * total > n:
+            paths = np.zeros(n)
+            for part, size, go in followed():
+                paths += np.bincount(go, weights=np.repeat(sigma[cells[part]], size), minlength=n)
+            new = np.flatnonzero((paths > 0) & (dist < 0))
+            sigma[new] = paths[new]
+            dist[new] = depth
+            return new, cells, followed
+        found = []
+        for part, size, go in followed():
+            before = dist[go]
+            on = np.flatnonzero((before < 0) | (before == depth))
+            np.add.at(sigma, go[on], np.repeat(sigma[cells[part]], size)[on])
+            fresh = go[before < 0]
+            dist[fresh] = depth
+            places = np.arange(len(fresh), dtype=np.int32)
+            self.last[fresh] = places  # of a cell that comes several times one place stays
+            found.append(fresh[self.last[fresh] == places])
+        return np.concatenate(found) if found else level[:0], cells, followed
+
+    def _inward(self, level: np.ndarray, depth: int, many: int) -> tuple[np.ndarray, np.ndarray, Callable]:
+        """The next level, from the links that come to cells that weren't reached yet."""
+        cells, followed = self._links(np.flatnonzero(self.dist[: many * self.n] < 0), self.into, many)
+        self.some[level] = self.sigma[level]
+        paths = np.zeros(len(cells))
+        for part, size, come in followed():
+            paths[part] = np.add.reduceat(self.some[come], np.cumsum(size) - size)
+        self.some[level] = 0
+        fresh = np.flatnonzero(paths)
+        new = cells[fresh]
+        self.sigma[new] = paths[fresh]
+        self.dist[new] = depth
+        return new, cells, followed
+
+    def _reach(self, sources: np.ndarray, x: np.ndarray | None) -> list[np.ndarray]:
+        """The cells of each level; leaves their dependencies in ``delta``, and 0 for the sources' own."""
+        n, many = self.n, len(sources)
+        self.room, self.followed = KEPT, 0
+        start = np.arange(many, dtype=np.int64) * n + sources
+        self.dist[start], self.sigma[start] = 0, 1
+        levels, ways, left = [start], [], many * len(self.into[1])
+        while len(level := levels[-1]):
+            node = level % n if many > 1 else level
+            total = int(self.out[2][node].sum())
+            left -= int(self.into[2][node].sum())
+            inward = left + many * n // 8 < total
+            new, *way = self._inward(level, len(levels), many) if inward else self._outward(level, len(levels), many, total)
+            levels.append(new)
+            ways.append((inward, *way))
+        # the last level is empty
+        levels.pop()
+        ways.pop()
+        for level, new, (inward, cells, followed) in reversed(list(zip(levels[:-1], levels[1:], ways, strict=True))):
+            own = 1.0 if x is None else np.maximum(0.0, x[sources[new // n]] - x[new % n])
+            self.some[new] = (own + self.delta[new]) / self.sigma[new]
+            if inward:
+                got = np.zeros(many * n)
+                for part, size, come in followed():
+                    got += np.bincount(come, weights=np.repeat(self.some[cells[part]], size), minlength=many * n)
+                self.delta[level] = self.sigma[level] * got[level]
+            else:
+                for part, size, go in followed():
+                    self.delta[cells[part]] = self.sigma[cells[part]] * np.add.reduceat(self.some[go], np.cumsum(size) - size)
+            self.some[new] = 0
+        self.delta[start] = 0
+        self.width = min(self.most, max(1, EVEN * len(levels) * many // max(1, self.followed)))
+        return levels
+
+    def _clear(self, levels: list[np.ndarray], many: int) -> None:
+        every = slice(many * self.n) if 8 * sum(map(len, levels)) > many * self.n else np.concatenate(levels)
+        self.dist[every], self.sigma[every], self.delta[every] = -1, 0, 0
 
     def run(self, sources: np.ndarray, x: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Nodes and their dependencies of these sources: each node comes once for each source, itself left out."""
-        start = np.arange(len(sources), dtype=np.int64) * self.n + sources
-        self.dist[start], self.sigma[start] = 0, 1
-        levels, depth = [start], 0
-        while len(levels[-1]):
-            depth += 1
-            new = []
-            for _, come, go in self._followed(levels[-1]):
-                fresh = go[self.dist[go] < 0]
-                self.dist[fresh] = depth
-                places = np.arange(len(fresh), dtype=np.int32)
-                self.last[fresh] = places  # of a cell that comes several times one place stays
-                new.append(fresh[self.last[fresh] == places])
-                on = self.dist[go] == depth
-                np.add.at(self.sigma, go[on], self.sigma[come[on]])
-            levels.append(np.concatenate(new) if new else start[:0])
-        for level in reversed(levels):
-            for at, come, go in self._followed(level):
-                on = self.dist[go] == self.dist[come] + 1
-                come, go = come[on], go[on]
-                own = 1.0 if x is None else np.maximum(0.0, x[sources[go // self.n]] - x[go % self.n])
-                got = self.sigma[come] / self.sigma[go] * (own + self.delta[go])
-                self.delta[level] += np.bincount(at[on], weights=got, minlength=len(level))
-        seen = np.concatenate(levels[1:]) if len(levels) > 1 else start[:0]
-        nodes, found = seen % self.n, self.delta[seen].copy()
-        every = np.concatenate(levels)
-        self.dist[every], self.sigma[every], self.delta[every] = -1, 0, 0
-        return nodes, found
+        levels = self._reach(sources, x)
+        seen = np.concatenate([levels[0][:0], *levels[1:]])
+        found = self.delta[seen]
+        self._clear(levels, len(sources))
+        return seen % self.n, found
+
+    def add(self, total: np.ndarray, sources: np.ndarray, x: np.ndarray | None) -> None:
+        """Adds to ``total`` each node's dependencies of all these sources."""
+        lo = 0
+        while lo < len(sources):
+            some = sources[lo : lo + self.width]
+            lo += len(some)
+            levels = self._reach(some, x)
+            if 8 * sum(map(len, levels)) > len(some) * self.n:
+                for k in range(len(some)):
+                    total += self.delta[k * self.n : (k + 1) * self.n]
+            else:
+                seen = np.concatenate(levels)
+                np.add.at(total, seen % self.n, self.delta[seen])
+            self._clear(levels, len(some))
 
 
 def _dependencies(edges: DataFrame, directed: bool, state: Callable[[str], float] | None = None) -> tuple[DataFrame, int, DataFrame]:
     """(name, id), the number of nodes, and (id, v) of the nodes that lie between others: sums of Brandes' dependencies over all sources, of which those without
-    an own link need no search. With ``state`` a pair counts by how much its source is above its target, and a node's sum is divided by that of the pairs it isn't in.
+    an own link need no search. With ``state`` a pair counts by how much its source is above its target, and a node's sum is divided by that of the pairs it isn't
+    in; sources of the least state count for none.
 
-    The driver and each task hold 4 bytes a link and some dozen bytes a node; there is no bound on links.
+    The driver and each task hold 8 bytes a link, 4 for each of its ends, and some dozen bytes a node; there is no bound on links.
     """
     spark = edges.sparkSession
     ids, links, n = _numbered(edges, directed)
@@ -192,18 +294,16 @@ def _dependencies(edges: DataFrame, directed: bool, state: Callable[[str], float
         total, before = float((order * (2 * np.arange(n) - n + 1)).sum()), np.concatenate([[0.0], np.cumsum(order)])
         below = np.searchsorted(order, x)
         rest = total - (x * (2 * below - n) + before[-1] - 2 * before[below])
-    shared = spark.sparkContext.broadcast((begin, near, x, rest))
+    shared = spark.sparkContext.broadcast((begin, near, _reversed(begin, near), x, rest))
     parts = min(max(1, n), spark.sparkContext.defaultParallelism * 4)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        begin, near, x, rest = shared.value
-        search, total = _Search(begin, near), np.zeros(n)
+        begin, near, back, x, rest = shared.value
+        search, total = _Search(begin, near, back), np.zeros(n)
         for b in batches:
             sources = b["id"].to_numpy()
             sources = sources[begin[sources + 1] > begin[sources]]
-            for lo in range(0, len(sources), search.width):
-                nodes, found = search.run(sources[lo : lo + search.width], x)
-                total += np.bincount(nodes, weights=found, minlength=n)
+            search.add(total, sources if x is None else sources[x[sources] > x.min()], x)
         some = np.flatnonzero(total if rest is None else (total != 0) & (rest > 0))
         yield pd.DataFrame({"id": some.astype(np.int32), "v": total[some] if rest is None else total[some] / rest[some]})
 
